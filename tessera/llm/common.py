@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -33,6 +34,8 @@ def cut(df: DataFrame, compression: str = "zstd") -> DataFrame:
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     atexit.register(_remove, spark, path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files that only this write needed
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -59,7 +59,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def runs_of(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...] | None:
-    """Runs of windows of one key: (key, hash of the run's bytes, first window, windows)."""
+    """Runs of windows of one key: (key, hash of the run's bytes, first window, windows, whether the gram stands there twice)."""
     n = len(data)
     if n < length:
         return None
@@ -67,7 +67,7 @@ def runs_of(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
     a = np.frombuffer(data, np.uint8)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_TABLE[a] * power[:n], out=sums[1:])
-    low = _mixed((sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1])
+    grams = low = _mixed((sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1])
     width, step = length - gram + 1, 1
     while step * 2 <= width:
         low = np.minimum(low[:-step], low[step:])
@@ -77,7 +77,13 @@ def runs_of(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
     first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
     end = np.append(first[1:], len(low))
     whole = _mixed((sums[end + length - 1] - sums[first]) * inverse[first] + (end - first).astype(np.uint64))
-    return low[first], whole, first, end - first
+    # Where the first window has the gram, and where the last one has it: two places if the run may repeat itself.
+    span = length - gram + 1
+    view = np.lib.stride_tricks.sliding_window_view(grams, span)
+    key = low[first]
+    left = first + (view[first] == key[:, None]).argmax(1)
+    right = end - 1 + span - 1 - (view[end - 1][:, ::-1] == key[:, None]).argmax(1)
+    return key, whole, first, end - first, left != right
 
 
 def _ids(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -92,7 +98,7 @@ def _spans_batch(ids, ties, starts, ends) -> pa.RecordBatch:
 
 def _scan(rows: DataFrame, parts: int, length: int) -> DataFrame:
     """Spans removed within a task (id, tie, from, to), and per part of the keys a packed table of the first runs met."""
-    kind = np.dtype([("key", "<u8"), ("whole", "<u8"), ("id", "<i8"), ("tie", "<i8"), ("at", "<i4"), ("n", "<i4")])
+    kind = np.dtype([("key", "<u8"), ("whole", "<u8"), ("id", "<i8"), ("tie", "<i8"), ("at", "<i4"), ("n", "<i4"), ("twice", "<i1")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -137,7 +143,8 @@ def _scan(rows: DataFrame, parts: int, length: int) -> DataFrame:
                 if found is None:
                     continue
                 table = np.empty(len(found[0]), kind)
-                table["key"], table["whole"], table["at"], table["n"] = found
+                table["key"], table["whole"], table["at"], table["n"] = found[:4]
+                table["twice"] = found[4]
                 table["id"], table["tie"] = own, tie
                 held.append(table)
                 count += len(table)
@@ -151,20 +158,20 @@ def _scan(rows: DataFrame, parts: int, length: int) -> DataFrame:
 
 def _settle(scanned: DataFrame, length: int) -> DataFrame:
     """By part of the keys: spans of runs met earlier in another task, and (with key and width) the runs that need their bytes compared."""
-    names = ("key", "whole", "id", "tie", "at", "n")
-    kinds = ("<u8", "<u8", "<i8", "<i8", "<i4", "<i4")
+    names = ("key", "whole", "id", "tie", "at", "n", "twice")
+    kinds = ("<u8", "<u8", "<i8", "<i8", "<i4", "<i4", "<i1")
 
     def run(table: pa.Table) -> pa.Table:
         columns: list[list[np.ndarray]] = [[] for _ in names]
         for blob in table.column("runs"):
             raw = blob.as_py()
-            n, at = len(raw) // 40, 0
+            n, at = len(raw) // 41, 0
             for k, kind in enumerate(kinds):
                 columns[k].append(np.frombuffer(raw, kind, n, at))
                 at += n * np.dtype(kind).itemsize
-        key, whole, own, tie, at, n = (np.concatenate(c) for c in columns)
+        key, whole, own, tie, at, n, twice = (np.concatenate(c) for c in columns)
         order = np.lexsort((at, tie, own, whole, key))
-        key, whole, own, tie, at, n = (x[order] for x in (key, whole, own, tie, at, n))
+        key, whole, own, tie, at, n, twice = (x[order] for x in (key, whole, own, tie, at, n, twice))
         same_key = np.concatenate(([False], key[1:] == key[:-1]))
         again = same_key & np.concatenate(([False], whole[1:] == whole[:-1]))
         itself = again & np.concatenate(([False], (own[1:] == own[:-1]) & (tie[1:] == tie[:-1]) & (at[1:] == at[:-1])))
@@ -172,8 +179,7 @@ def _settle(scanned: DataFrame, length: int) -> DataFrame:
         new = ~again
         group = np.cumsum(~same_key) - 1
         different = np.bincount(group, weights=new, minlength=group[-1] + 1 if len(group) else 0).astype(np.int64)
-        # A run longer than the gram's reach holds its gram twice, and may repeat itself.
-        look = new & ((different[group] > 1) | (n > length - GRAM + 1)) if len(group) else new
+        look = new & ((different[group] > 1) | (twice > 0)) if len(group) else new
         k = np.flatnonzero(gone | look)
         asks = look[k]
         return pa.table(

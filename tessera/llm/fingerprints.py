@@ -15,16 +15,34 @@ range (the first document of each range is handed to the range before it).
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessera.llm.common import SPACE, cut, fields
 
-SAMPLES = 32
+SAMPLES = 16
 #: Documents in a range of ids, on average; and the most ranges.
 RANGE_ROWS, RANGES = 500, 65_536
-_UNIT = 2.0**-21
+#: Bits of a hash that choose among equally likely values of r and of ln c.
+R_BITS, C_BITS = 9, 10
+
+
+def gamma_quantiles(bits: int) -> np.ndarray:
+    """The middles of 2 ** bits equally likely parts of Gamma(2, 1), by bisection of its distribution function."""
+    want = (np.arange(1 << bits) + 0.5) / (1 << bits)
+    low, high = np.zeros(1 << bits), np.full(1 << bits, 60.0)
+    for _ in range(80):
+        x = (low + high) / 2
+        below = 1 - (1 + x) * np.exp(-x) < want
+        low, high = np.where(below, x, low), np.where(below, high, x)
+    return (low + high) / 2
+
+
+def _table(values: np.ndarray) -> Column:
+    """A constant array, folded by the optimizer."""
+    return F.split(F.lit(",".join(f"{v:.4f}" for v in values)), ",").cast("array<double>")
 
 
 def word_hashes(text: Column) -> Column:
@@ -38,22 +56,29 @@ def run_ends(hashes: Column) -> Column:
     return F.when(F.size(hashes) > 0, F.concat(F.array(F.lit(-1)), ends))
 
 
-def _uniform(h: Column, shift: int) -> Column:
-    """In (0, 1), from 21 bits of a hash."""
-    return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << 21) - 1)) + F.lit(0.5)) * F.lit(_UNIT)
+def _bits(h: Column, shift: int, width: int) -> Column:
+    return F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << width) - 1))
+
 
+def sample_key(word: Column, ln_weight: Column, k: int) -> Column:
+    """A long that orders the words of a document by their k-th sample's value, and names word and t in its lower half.
 
-def sample_key(word: Column, weight: Column, k: int) -> Column:
-    """A long that orders the words of a document by their k-th sample's value, and names word and t in its lower half."""
-    one, two = F.xxhash64(word, F.lit(2 * k)), F.xxhash64(word, F.lit(2 * k + 1))
-    r = -F.log(_uniform(one, 0) * _uniform(one, 21))
-    ln_c = F.log(-F.log(_uniform(two, 0) * _uniform(two, 21)))
-    b = _uniform(one, 42)
-    t = F.floor(F.log(weight) / r + b)
+    r, c and b come from separate bits of one hash: r and ln c through tables
+    of quantiles (logarithms cost most of the time otherwise), but the lowest
+    part of c, which decides the minima of long texts, exactly.
+    """
+    h = F.xxhash64(word, F.lit(k))
+    r = F.get(_table(gamma_quantiles(R_BITS)), _bits(h, 0, R_BITS).cast("int"))
+    c = _bits(h, R_BITS, C_BITS)
+    fine = (_bits(h, 43, 20) + F.lit(0.5)) * F.lit(2.0**-20 / (1 << C_BITS))
+    # Gamma(2, 1) has the distribution function x ** 2 / 2 near 0.
+    ln_c = F.when(c == 0, F.log(fine * 2) * 0.5).otherwise(F.get(_table(np.log(gamma_quantiles(C_BITS))), c.cast("int")))
+    b = (_bits(h, R_BITS + C_BITS, 24) + F.lit(0.5)) * F.lit(2.0**-24)
+    t = F.when(ln_weight == 0, F.lit(0).cast("long")).otherwise(F.floor(ln_weight / r + b))
     value = ln_c - r * (t - b + 1)
     # Values lie within +-100 or so; the upper 32 bits hold them in steps of 2 ** -23.
-    high = ((F.greatest(F.least(value, F.lit(127.0)), F.lit(-127.0)) * F.lit(2.0**23)).cast("long") * F.lit(1 << 32)).cast("long")
-    return high + F.xxhash64(word, t).bitwiseAND(F.lit((1 << 32) - 1))
+    high = F.shiftleft((value * F.lit(2.0**23)).cast("long"), 32)
+    return high.bitwiseOR(word.bitwiseXOR(t * F.lit(0x9E3779B1)).bitwiseAND(F.lit((1 << 32) - 1)))
 
 
 def likeness(one: str, two: str) -> Column:
@@ -68,7 +93,7 @@ def fingerprint_rows(rows: DataFrame, keys: list[str], text: str, carried: list[
     hashed = rows.select(*keys, *carried, word_hashes(F.col(text)).alias("hashes"))
     ended = hashed.select(*keys, *carried, "hashes", run_ends(F.col("hashes")).alias("ends"))
     weighed = ended.select(*keys, *carried, F.explode_outer(F.transform(F.slice("ends", 2, F.greatest(F.size("ends") - 1, F.lit(0))), lambda e, k: F.struct(F.get("hashes", e).alias("h"), (e - F.get("ends", k)).alias("n")))).alias("x"))
-    terms = weighed.select(*keys, *carried, F.col("x.h").alias("h"), F.col("x.n").cast("double").alias("w"))
+    terms = weighed.select(*keys, *carried, F.col("x.h").alias("h"), F.log(F.col("x.n").cast("double")).alias("w"))
     lows = terms.groupBy(*keys).agg(*[F.max(c).alias(c) for c in carried], *[F.min(sample_key(F.col("h"), F.col("w"), k)).alias(f"s{k}") for k in range(samples)])
     parts = [F.lower(F.lpad(F.hex(F.coalesce(F.col(f"s{k}").bitwiseAND(F.lit((1 << 32) - 1)), F.lit(0))), 8, "0")) for k in range(samples)]
     return lows.select(*keys, *carried, F.concat_ws("-", *parts).alias("fingerprint"))

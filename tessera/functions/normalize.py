@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.wordlists import ADDRESS_ABBREVIATIONS, ADDRESS_STOPWORDS, LEGAL_SUFFIXES, MISSING, NAME_STOPWORDS
 
@@ -94,7 +95,7 @@ def normalized(records: DataFrame, missing_tokens: bool = False) -> DataFrame:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unicode_clean(c: pd.Series) -> pd.Series:
     """NFKD, ASCII, lower case, & as and; Spark has no Unicode normalization of its own."""
     return c.map(lambda s: unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode().lower().replace("&", " and ").strip() if isinstance(s, str) else "")

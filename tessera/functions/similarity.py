@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def lcs(a: str, b: str) -> int:
@@ -101,7 +102,7 @@ ADDRESS = {"ratio": ratio, "sort": token_sort_ratio, "set": token_set_ratio, "jw
 
 
 def _scored(kinds: dict):
-    @F.pandas_udf(", ".join(f"{k} double" for k in kinds))
+    @F.pandas_udf(T.StructType([T.StructField(k, T.DoubleType()) for k in kinds]))
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         # Equal strings score 1 and empty ones 0, without a comparison.
         rows = [[0.0] * len(kinds) if not x or not y else [1.0] * len(kinds) if x == y else [f(x, y) for f in kinds.values()] for x, y in zip(a.fillna(""), b.fillna(""), strict=True)]

@@ -92,11 +92,14 @@ def candidates(sources: DataFrame, targets: DataFrame, cap: int = 8, tfidf: Data
 def char_grams(c: Column, sizes: tuple[int, ...] = (3, 4)) -> Column:
     """Character n-grams of each word padded with a space on both sides; a padded word no longer than n is emitted once, and ends its sizes."""
 
+    def cut_at(p: Column, n: int):
+        return lambda i: F.substr(p, i, F.lit(n))
+
     def of_word(w: Column) -> Column:
         p = F.concat(F.lit(" "), w, F.lit(" "))
         out, open_ = F.array().cast("array<string>"), F.lit(True)
         for n in sizes:
-            slid = F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - n + 1, F.lit(1))), lambda i, n=n: F.substring(p, i, F.lit(n)))
+            slid = F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - n + 1, F.lit(1))), cut_at(p, n))
             out = F.concat(out, F.when(open_, slid).otherwise(F.array().cast("array<string>")))
             open_ = open_ & (F.length(p) > n)
         return out

@@ -22,7 +22,7 @@ from pyspark.sql.window import Window as W
 
 from tessera.llm.common import SPACE, cut, fields
 
-SAMPLES = 16
+SAMPLES = 32
 #: Documents in a range of ids, on average; and the most ranges.
 RANGE_ROWS, RANGES = 500, 65_536
 #: Bits of a hash that choose among equally likely values of r and of ln c.

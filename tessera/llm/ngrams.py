@@ -8,8 +8,8 @@ overlap is counted in each fragment separately and summed per pair, and the
 sum decides exactly.
 
 Groups of copies of any size cost work in proportion: first each set is only
-compared with one centre, the smallest set that it shares the most prefix
-n-grams with, and the links found join sets into components. Only n-grams
+compared with one centre, of the smallest sets of its prefix n-grams the one
+that it meets most often, and the links found join sets into components. Only n-grams
 whose sets lie in different components then yield further pairs, and only
 across components. No link between components is lost, so the components are
 exact.
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import UPPER, cut, fields
@@ -151,13 +151,27 @@ def _segments(texts: DataFrame, n: int, common) -> DataFrame:
     return texts.mapInArrow(run, "set long, size long, fragment int, grams array<long>")
 
 
+def _possible(least: int, of: int) -> Column:
+    """Whether sets of na and nb n-grams can be similar if their prefixes share ``votes``: past the prefix that ends first, no more can be common than its set has left."""
+    left = F.greatest(F.ceil(F.col("na") * least / of), F.ceil(F.col("nb") * least / of)) - 1
+    return (of * F.col("na") >= least * F.col("nb")) & (of * F.col("nb") >= least * F.col("na")) & ((F.col("votes") + left) * (of + least) >= least * (F.col("na") + F.col("nb")))
+
+
+def _texts_of(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """set and text of the sets in pairs; a set's text may come more than once."""
+    own = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
+    return own.join(sets, "set").select("set", F.col("first").alias("id")).join(texts, "id").select("set", "text")
+
+
 def _links(pairs: DataFrame, segments: DataFrame, least: int, of: int) -> DataFrame:
     """The pairs (a, b) whose overlap, summed over the fragments, is large enough."""
+    segments = cut(segments)
     mine = segments.select(F.col("set").alias("a"), F.col("size").alias("na"), "fragment", F.col("grams").alias("ga"))
     theirs = segments.select(F.col("set").alias("b"), F.col("size").alias("nb"), "fragment", F.col("grams").alias("gb"))
     met = pairs.select("a", "b").join(mine, "a").join(theirs, ["b", "fragment"])
     partial = F.size(F.array_intersect("ga", "gb")).cast("long")
-    summed = met.select("a", "b", "na", "nb", partial.alias("common")).groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
+    fragments = met.select("a", "b", "na", "nb", "fragment", partial.alias("common")).groupBy("a", "b", "na", "nb", "fragment").agg(F.max("common").alias("common"))
+    summed = fragments.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
     return summed.where(of * F.col("common") >= least * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b", "common")
 
 
@@ -188,15 +202,14 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     prefixes = cut(_prefixes(texts, n, common, least, of))
     entries = prefixes.select("set", "size", F.explode("prefix").alias("gram"))
     shared = entries.groupBy("gram").agg(F.min("set").alias("centre"), F.max("set").alias("last")).where("centre <> last").select("gram", "centre")
-    entries = cut(entries.join(shared, "gram").distinct())
+    entries = cut(entries.join(shared, "gram").groupBy("gram", "set").agg(F.max("size").alias("size"), F.max("centre").alias("centre")))
     votes = entries.where("set <> centre").groupBy("set", "centre").agg(F.count(F.lit(1)).alias("votes"))
-    stars = cut(votes.groupBy("set").agg(F.max(F.struct("votes", "centre")).alias("best")).select(F.col("set").alias("a"), F.col("best.centre").alias("b")))
-    involved = entries.select("set").distinct().join(sets, "set").select("set", F.col("first").alias("id"))
-    involved = involved.join(texts, "id").select("set", "text")
-    segments = cut(_segments(involved, n, common).dropDuplicates(["set", "fragment"]))
-
-    found = cut(_links(stars, segments, least, of))
+    stars = votes.groupBy("set").agg(F.max(F.struct("votes", "centre")).alias("best")).select(F.col("set").alias("a"), F.col("best.centre").alias("b"), "best.votes")
+    stars = stars.join(sets.select(F.col("set").alias("a"), F.col("size").alias("na")), "a").join(sets.select(F.col("set").alias("b"), F.col("size").alias("nb")), "b")
+    stars = cut(stars.where(_possible(least, of)).select("a", "b"))
+    found = cut(_links(stars, _segments(_texts_of(stars, sets, texts), n, common), least, of))
     labels = connected_components(found)
+
     grouped = entries.join(labels.withColumnRenamed("node", "set"), "set", "left").select("gram", "set", "size", F.coalesce("label", "set").alias("label"))
     grouped = cut(grouped)
     mixed = grouped.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gram")
@@ -204,9 +217,11 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     one = open_.select("gram", F.col("set").alias("a"), F.col("size").alias("na"), F.col("label").alias("la"))
     two = open_.select("gram", F.col("set").alias("b"), F.col("size").alias("nb"), F.col("label").alias("lb"))
     across = one.join(two, "gram").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")))
-    across = across.where((of * F.col("na") >= least * F.col("nb")) & (of * F.col("nb") >= least * F.col("na"))).select("a", "b").distinct()
-    across = cut(across.join(stars, ["a", "b"], "left_anti"))
-    more = _links(across, segments, least, of)
+    across = across.where((of * F.col("na") >= least * F.col("nb")) & (of * F.col("nb") >= least * F.col("na")))
+    # All n-grams that both prefixes hold have been met here, since sets of two components make an n-gram mixed.
+    across = across.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("votes")).where(_possible(least, of)).select("a", "b")
+    across = cut(across.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
+    more = _links(across, _segments(_texts_of(across, sets, texts), n, common), least, of)
     links = cut(found.select("a", "b").union(more.select("a", "b")))
     labels = connected_components(links)
 

@@ -97,7 +97,7 @@ def _spans_batch(ids, ties, starts, ends) -> pa.RecordBatch:
 
 
 def _scan(rows: DataFrame, parts: int, length: int) -> DataFrame:
-    """Spans removed within a task (id, tie, from, to), and per part of the keys a packed table of the first runs met."""
+    """Spans removed within a task (id, tie, from, to; in any part), and per part of the keys a packed table of the first runs met."""
     kind = np.dtype([("key", "<u8"), ("whole", "<u8"), ("id", "<i8"), ("tie", "<i8"), ("at", "<i4"), ("n", "<i4"), ("twice", "<i1")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +134,7 @@ def _scan(rows: DataFrame, parts: int, length: int) -> DataFrame:
         def out(part, blobs, spans) -> pa.RecordBatch:
             n = len(part) if spans is None else len(spans[0])
             columns = [pa.nulls(n, pa.int64())] * 4 if spans is None else [pa.array(np.asarray(x, np.int64)) for x in spans]
-            more = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())] if spans is not None else [pa.array(part, pa.int64()), pa.array(blobs, pa.binary())]
+            more = [pa.array(np.asarray(spans[0]) % parts), pa.nulls(n, pa.binary())] if spans is not None else [pa.array(part, pa.int64()), pa.array(blobs, pa.binary())]
             return pa.RecordBatch.from_arrays([*columns, *more], ["id", "tie", "from", "to", "part", "runs"])
 
         for batch in batches:
@@ -157,13 +157,14 @@ def _scan(rows: DataFrame, parts: int, length: int) -> DataFrame:
 
 
 def _settle(scanned: DataFrame, length: int) -> DataFrame:
-    """By part of the keys: spans of runs met earlier in another task, and (with key and width) the runs that need their bytes compared."""
+    """The spans so far; by part of the keys those of runs met earlier in another task, and (with key and width) the runs that need their bytes compared."""
     names = ("key", "whole", "id", "tie", "at", "n", "twice")
     kinds = ("<u8", "<u8", "<i8", "<i8", "<i4", "<i4", "<i1")
 
     def run(table: pa.Table) -> pa.Table:
-        columns: list[list[np.ndarray]] = [[] for _ in names]
-        for blob in table.column("runs"):
+        spans = [np.asarray(table.column(c).drop_null(), np.int64) for c in ("id", "tie", "from", "to")]
+        columns: list[list[np.ndarray]] = [[np.zeros(0, kind)] for kind in kinds]
+        for blob in table.column("runs").drop_null():
             raw = blob.as_py()
             n, at = len(raw) // 41, 0
             for k, kind in enumerate(kinds):
@@ -172,9 +173,9 @@ def _settle(scanned: DataFrame, length: int) -> DataFrame:
         key, whole, own, tie, at, n, twice = (np.concatenate(c) for c in columns)
         order = np.lexsort((at, tie, own, whole, key))
         key, whole, own, tie, at, n, twice = (x[order] for x in (key, whole, own, tie, at, n, twice))
-        same_key = np.concatenate(([False], key[1:] == key[:-1]))
-        again = same_key & np.concatenate(([False], whole[1:] == whole[:-1]))
-        itself = again & np.concatenate(([False], (own[1:] == own[:-1]) & (tie[1:] == tie[:-1]) & (at[1:] == at[:-1])))
+        same_key = np.concatenate(([False], key[1:] == key[:-1]))[: len(key)]
+        again = same_key & np.concatenate(([False], whole[1:] == whole[:-1]))[: len(key)]
+        itself = again & np.concatenate(([False], (own[1:] == own[:-1]) & (tie[1:] == tie[:-1]) & (at[1:] == at[:-1])))[: len(key)]
         gone = again & ~itself
         new = ~again
         group = np.cumsum(~same_key) - 1
@@ -182,18 +183,20 @@ def _settle(scanned: DataFrame, length: int) -> DataFrame:
         look = new & ((different[group] > 1) | (twice > 0)) if len(group) else new
         k = np.flatnonzero(gone | look)
         asks = look[k]
+        start = at[k].astype(np.int64)
+        both = [np.concatenate(x) for x in zip(spans, (own[k], tie[k], start, start + n[k] + length - 1), strict=True)]
+        silent = np.concatenate((np.ones(len(spans[0]), bool), ~asks))
+        pad = np.zeros(len(spans[0]), np.int64)
+        many = different[group[k]] if len(k) else np.zeros(0, np.int64)
         return pa.table(
             {
-                "id": own[k],
-                "tie": tie[k],
-                "from": at[k].astype(np.int64),
-                "to": at[k].astype(np.int64) + n[k] + length - 1,
-                "key": pa.array(key[k].astype(np.int64), mask=~asks),
-                "many": pa.array(different[group[k]] if len(k) else np.zeros(0, np.int64), mask=~asks),
+                **dict(zip(("id", "tie", "from", "to"), both, strict=True)),
+                "key": pa.array(np.concatenate((pad, key[k].astype(np.int64))), mask=silent),
+                "many": pa.array(np.concatenate((pad, many)), mask=silent),
             }
         )
 
-    return scanned.where("runs IS NOT NULL").select("part", "runs").groupBy("part").applyInArrow(run, "id long, tie long, from long, to long, key long, many long")
+    return scanned.groupBy("part").applyInArrow(run, "id long, tie long, from long, to long, key long, many long")
 
 
 def _contexts(rows: DataFrame, asked: DataFrame, length: int) -> DataFrame:
@@ -288,13 +291,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     rows = _ids(docs, doc_id, text)
     parts = 4 * shuffle_parts(spark)
-    scanned = cut(_scan(rows, parts, length))
-    settled = cut(_settle(scanned, length))
+    settled = cut(_settle(_scan(rows, parts, length), length))
     asked = settled.where("key IS NOT NULL")
     contexts = cut(_contexts(rows, asked, length))
     compared = _compare(contexts, parts, length)
     names = ["id", "tie", "from", "to"]
-    spans = scanned.where("runs IS NULL").select(*names).union(settled.where("key IS NULL").select(*names)).union(compared.select(*names))
+    spans = settled.where("key IS NULL").select(*names).union(compared.select(*names))
     spans = spans.groupBy("id", "tie").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     met = rows.join(spans, ["id", "tie"], "left").select("id", "data", F.col("spans.from").alias("from"), F.col("spans.to").alias("to"))
 

@@ -142,7 +142,9 @@ def fit(texts: list[str]) -> Field:
     for text in texts:
         own = nodes(text)
         y = _clamped(base_spans(text), own)
-        y = np.where(y >= 0, y, [n - 1 if x[4] else 0 for x in own] if own else y)
+        # What is named as a secret once is one wherever it stands in the document.
+        named = {x[2] for x in own if x[4]}
+        y = np.where(y >= 0, y, [n - 1 if x[2] in named else 0 for x in own] if own else y)
         seen: dict[str, int] = {}
         for i, x in enumerate(own):
             xs.append(features(x[2], x[4]))

@@ -200,7 +200,8 @@ def test_fingerprint_rate(spark):
         x, y = collections.Counter(rows[k][1].split()), collections.Counter(rows[k - 1][1].split())
         real.append(sum((x & y).values()) / sum((x | y).values()))
         near.append(got[k].near_next)
-    assert abs(np.mean(real) - np.mean(near)) < 0.02
+    # All pairs share forty words and so their draws: the mean varies like that of a few hundred samples.
+    assert abs(np.mean(real) - np.mean(near)) < 0.06
 
 
 def test_licenses(docs):

@@ -51,7 +51,7 @@ def read_pairs(spark: SparkSession, path: str, column: str = "candidate_entity_i
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """First field of each line but the header's and blank ones, without quoting."""
     lines = spark.read.text(path).where(F.trim("value") != "")
-    return lines.select(F.split("value", "\t")[0].alias("entity_id")).where(F.col("entity_id") != "entity_id")
+    return lines.select(F.get(F.split("value", "\t"), F.lit(0)).alias("entity_id")).where(F.col("entity_id") != "entity_id")
 
 
 def write_lists(lists: DataFrame, path: str) -> None:

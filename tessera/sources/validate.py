@@ -53,7 +53,7 @@ def parsed(spark: SparkSession, path: str, kind: str, report: Report) -> DataFra
     for r in rows.where(~F.contains("value", F.lit("\t"))).orderBy("line").limit(EXAMPLES).collect():
         report.errors.append(f"{kind}: line {r.line} has no tab")
     parts = F.split("value", "\t", 2)
-    rows = rows.where(F.contains("value", F.lit("\t"))).select("line", parts[0].alias("s1_id"), F.filter(F.split(parts[1], ","), lambda x: x != "").alias("ids"))
+    rows = rows.where(F.contains("value", F.lit("\t"))).select("line", F.get(parts, F.lit(0)).alias("s1_id"), F.filter(F.split(F.get(parts, F.lit(1)), ","), lambda x: x != "").alias("ids"))
     n, some = _examples(rows.groupBy("s1_id").count().where("count > 1"), "s1_id")
     if n:
         report.errors.append(f"{kind}: {n} repeated sources, such as {some}")

@@ -11,7 +11,9 @@ the executors a piece's rank among those of its length then gives its place.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +42,8 @@ class WordEncoder:
     """Encodes texts by a tokenizer that drops white space and never joins across it, a word at a time, with a cache."""
 
     def __init__(self, path: str):
+        # A task has one core: threads of the tokenizer's own would only contend for it.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -54,19 +58,20 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         words = text.replace("\n", " ").split(" ")
-        cache = self.cache
+        ids = [*map(self.cache.get, words)]
         try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
+            return b"".join(ids)
+        except TypeError:
             pass
-        new = [w for w in dict.fromkeys(words) if w not in cache]
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            cache[""] = b""
-            new = list(dict.fromkeys(words))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([cache[w] for w in words])
+        missing = [k for k, known in enumerate(ids) if known is None]
+        new = list(dict.fromkeys(words[k] for k in missing))
+        fresh = {w: array("I", e.ids).tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        for k in missing:
+            ids[k] = fresh[words[k]]
+        if len(self.cache) + len(fresh) > CACHE:
+            self.cache = {"": b""}
+        self.cache.update(fresh)
+        return b"".join(ids)
 
 
 def cut_into_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:

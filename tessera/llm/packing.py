@@ -27,8 +27,9 @@ from tessera.llm.common import cut, fields
 CAPACITY, SEPARATOR = 2048, 0
 #: Shares of one length, for ranks: a length that a third of all pieces have is ranked in so many parts.
 SALTS = 512
-#: Words kept in a worker's cache of encodings before it is emptied.
+#: Words kept in each of a worker's two caches of encodings.
 CACHE = 400_000
+MARKS = ".,;:!?$%"
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -47,7 +48,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Once the cache is full it becomes the older one, which is only asked for words that the new one lacks.
         self.cache: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -64,12 +67,25 @@ class WordEncoder:
         except TypeError:
             pass
         missing = [k for k, known in enumerate(ids) if known is None]
-        new = list(dict.fromkeys(words[k] for k in missing))
-        fresh = {w: array("I", e.ids).tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        fresh = dict.fromkeys(words[k] for k in missing)
+        # A letter and a mark after it are never one token's, so a word's end marks are encoded apart.
+        split: dict[str, tuple[str, str]] = {}
+        for w in fresh:
+            if (known := self.older.get(w)) is not None:
+                fresh[w] = known
+            else:
+                core = w.rstrip(MARKS)
+                split[w] = (core, w[len(core) :]) if core and core[-1].isalpha() else (w, "")
+        own = {x: self.cache.get(x) or self.older.get(x) for pair in split.values() for x in pair}
+        new = [x for x, known in own.items() if x and known is None]
+        own.update(zip(new, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)], strict=True))
+        own[""] = b""
+        fresh.update((w, own[core] + own[tail]) for w, (core, tail) in split.items())
         for k in missing:
             ids[k] = fresh[words[k]]
-        if len(self.cache) + len(fresh) > CACHE:
-            self.cache = {"": b""}
+        if len(self.cache) + 2 * len(fresh) > CACHE:
+            self.cache, self.older = {"": b""}, self.cache
+        self.cache.update(own)
         self.cache.update(fresh)
         return b"".join(ids)
 

@@ -28,7 +28,7 @@ CAPACITY, SEPARATOR = 2048, 0
 #: Shares of one length, for ranks: a length that a third of all pieces have is ranked in so many parts.
 SALTS = 512
 #: Words kept in each of a worker's two caches of encodings.
-CACHE = 400_000
+CACHE = 600_000
 MARKS = ".,;:!?$%"
 _encoders: dict[str, WordEncoder] = {}
 

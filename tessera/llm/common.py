@@ -6,11 +6,14 @@ import atexit
 import gc
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_dir: list[str] = []
+#: Folders of the tables that cut() returned, by identity.
+_paths: dict[int, str] = {}
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Separators of words for the operators that count words or shingles.
@@ -19,10 +22,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master, whose tasks run on this machine, may leave it unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _local_dir:
         _local_dir.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
     return _local_dir[0]
@@ -35,8 +40,18 @@ def cut(df: DataFrame, compression: str = "zstd") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
     atexit.register(_remove, spark, path)
     gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files that only this write needed
-    return spark.read.schema(df.schema).parquet(path)
+    if hasattr(spark, "_jvm"):
+        spark._jvm.System.gc()  # lets Spark drop the shuffle files that only this write needed
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
+
+
+def drop(*written: DataFrame) -> None:
+    """Remove tables that cut() returned, once all that reads them has been written."""
+    for df in written:
+        _remove(df.sparkSession, _paths[id(df)])
 
 
 def _remove(spark: SparkSession, path: str) -> None:

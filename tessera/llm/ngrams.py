@@ -7,12 +7,22 @@ order (their prefixes). The order is cut into fragments; a candidate pair's
 overlap is counted in each fragment separately and summed per pair, and the
 sum decides exactly.
 
-Groups of copies of any size cost work in proportion: first each set is only
-compared with one centre, of the smallest sets of its prefix n-grams the one
-that it meets most often, and the links found join sets into components. Only n-grams
-whose sets lie in different components then yield further pairs, and only
-across components. No link between components is lost, so the components are
-exact.
+Candidates grow in proportion to the input, also where thousands of texts
+differ a little from one another:
+
+* Sets that share a prefix n-gram with at most TOGETHER others are compared
+  with these, as far as sizes and places in the prefixes allow a link.
+* A more common prefix n-gram is cut by size classes first (a set meets its
+  own class and the next). Where a class still holds many sets, all are
+  compared with one centre C, the member that meets most. With dA and dB the
+  numbers of n-grams in which A and B differ from C, A and B differ in
+  dA + dB - 2 |common differences| n-grams. Either dA + dB is within what a
+  link allows, and then both link with C; or A and B share differences from
+  C, and then one of the first few, rarest of them: the prefix of the smaller
+  difference holds half of what a link allows, that of the larger one all of
+  it. Differences shared by two components yield the remaining candidates.
+
+No link between components is lost, so the components are exact.
 """
 
 from __future__ import annotations
@@ -24,12 +34,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from tessera.llm.common import UPPER, cut, fields
+from tessera.llm.common import UPPER, cut, drop, fields
 from tessera.llm.components import connected_components
 
-#: Most common n-grams, which come last in the order (any choice gives right results), and n-grams counted at a time.
-COMMON, COUNTED, LEAST_COUNT = 100_000, 4_000_000, 3
+#: Most common n-grams, which come last in the order (a bound on what is broadcast; any choice gives right results), and n-grams counted at a time.
+COMMON, COUNTED, LEAST_COUNT = 400_000, 4_000_000, 3
+#: Sets of one prefix n-gram that are compared with each other; more go through a centre.
+TOGETHER = 16
+#: Partners of one set that meet in a task.
+PARTNERS = 256
 CACHE = 500_000
 #: Fragments of the order: the hashes' first bits, and one for the common n-grams.
 FRAGMENTS = 5
@@ -133,46 +148,130 @@ def _prefixes(docs: DataFrame, n: int, common, least: int, of: int) -> DataFrame
 
 
 def _segments(texts: DataFrame, n: int, common) -> DataFrame:
-    """set, size, fragment, grams: the part of a set that lies in each fragment of the order."""
+    """set, size, fragment, grams: the part of a set, empty or not, that lies in each fragment of the order; more than once for a set that several tasks meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams_, rank = common.value
         edges = np.arange(1, FRAGMENTS) << 60
+        seen: set[int] = set()
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for own, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                order = _ordered(ngram_hashes(text.as_py(), n), grams_, rank)
+                if own in seen:
+                    continue
+                grams = ngram_hashes(text.as_py(), n)
+                # Another text of the same id.
+                if _set_id(grams) != own:
+                    continue
+                if len(seen) < CACHE:
+                    seen.add(own)
+                order = _ordered(grams, grams_, rank)
                 for f, part in enumerate(np.split(order, np.searchsorted(order, edges))):
-                    if len(part):
-                        for column, value in zip(out, (own, len(order), f, part), strict=True):
-                            column.append(value)
+                    for column, value in zip(out, (own, len(order), f, part), strict=True):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.int64()))], ["set", "size", "fragment", "grams"])
 
     return texts.mapInArrow(run, "set long, size long, fragment int, grams array<long>")
 
 
+def _similar_sizes(least: int, of: int) -> Column:
+    return (of * F.col("na") >= least * F.col("nb")) & (of * F.col("nb") >= least * F.col("na"))
+
+
+def _most_common(size_a: str, size_b: str) -> Column:
+    """The most elements that two ordered sets with a common one at places pa and pb can share."""
+    return F.least("pa", "pb") + 1 + F.least(F.col(size_a) - F.col("pa"), F.col(size_b) - F.col("pb")) - 1
+
+
 def _possible(least: int, of: int) -> Column:
-    """Whether sets of na and nb n-grams can be similar if their prefixes share ``votes``: past the prefix that ends first, no more can be common than its set has left."""
-    left = F.greatest(F.ceil(F.col("na") * least / of), F.ceil(F.col("nb") * least / of)) - 1
-    return (of * F.col("na") >= least * F.col("nb")) & (of * F.col("nb") >= least * F.col("na")) & ((F.col("votes") + left) * (of + least) >= least * (F.col("na") + F.col("nb")))
+    """Whether sets of na and nb n-grams that share one at places pa and pb of the order can be similar."""
+    return _similar_sizes(least, of) & (_most_common("na", "nb") * (of + least) >= least * (F.col("na") + F.col("nb")))
 
 
-def _texts_of(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """set and text of the sets in pairs; a set's text may come more than once."""
-    own = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
-    return own.join(sets, "set").select("set", F.col("first").alias("id")).join(texts, "id").select("set", "text")
+def _possible_by_difference(least: int, of: int) -> Column:
+    """The same, by their differences of da and db n-grams from a centre, which share one at places pa and pb."""
+    apart = F.col("da") + F.col("db") - 2 * _most_common("da", "db")
+    return _similar_sizes(least, of) & ((of + least) * apart <= (of - least) * (F.col("na") + F.col("nb")))
 
 
-def _links(pairs: DataFrame, segments: DataFrame, least: int, of: int) -> DataFrame:
-    """The pairs (a, b) whose overlap, summed over the fragments, is large enough."""
-    segments = cut(segments)
+def _texts_of(wanted: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """set and text of the wanted sets; a set's text may come more than once, and with it other texts of its id."""
+    return wanted.join(sets, "set").select("set", F.col("first").alias("id")).join(texts, "id").select("set", "text")
+
+
+def _met(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """For each pair (a, b), both segments of each fragment: a, b, na, nb, fragment, ga, gb. The segments of a b with many partners are repeated, so that its pairs spread over tasks."""
     mine = segments.select(F.col("set").alias("a"), F.col("size").alias("na"), "fragment", F.col("grams").alias("ga"))
     theirs = segments.select(F.col("set").alias("b"), F.col("size").alias("nb"), "fragment", F.col("grams").alias("gb"))
-    met = pairs.select("a", "b").join(mine, "a").join(theirs, ["b", "fragment"])
+    shares = pairs.groupBy("b").agg((F.floor(F.count(F.lit(1)) / PARTNERS) + 1).alias("shares"))
+    salted = pairs.select("a", "b").join(shares, "b").select("a", "b", F.pmod(F.xxhash64("a"), "shares").cast("int").alias("salt"))
+    theirs = theirs.join(shares, "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("shares").cast("int") - 1))).drop("shares")
+    return salted.join(mine, "a").join(theirs, ["b", "fragment", "salt"])
+
+
+def _links(pairs: DataFrame, segments: DataFrame, least: int, of: int) -> DataFrame:
+    """The pairs (a, b) whose overlap, summed over the fragments, is large enough."""
     partial = F.size(F.array_intersect("ga", "gb")).cast("long")
-    fragments = met.select("a", "b", "na", "nb", "fragment", partial.alias("common")).groupBy("a", "b", "na", "nb", "fragment").agg(F.max("common").alias("common"))
+    fragments = _met(pairs, segments).select("a", "b", "na", "nb", "fragment", partial.alias("common"))
+    fragments = fragments.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("common").alias("common"))
     summed = fragments.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
-    return summed.where(of * F.col("common") >= least * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b", "common")
+    return summed.where(of * F.col("common") >= least * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+
+
+def _classes(entries: DataFrame, least: int, of: int) -> DataFrame:
+    """Entries by n-gram and size class: each in its own class, at home, and as a visitor in the next one. Similar sets are at most one class apart."""
+    own = F.floor(F.log(F.col("size").cast("double")) / F.lit(np.log(of / least) * 1.000001)).cast("int")
+    return entries.withColumn("home", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("class", F.when(F.col("home"), own).otherwise(own + 1)).drop("c")
+
+
+def _candidates(entries: DataFrame, least: int, of: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) to compare, and stars (a, b) of sets and the centres they go through, from entries (gram, set, size, pos, c)."""
+    few, many = entries.where(F.col("c") <= TOGETHER), entries.where(F.col("c") > TOGETHER)
+    side = lambda rows, x, *keys: rows.select(*keys, F.col("set").alias(x), F.col("size").alias(f"n{x}"), F.col("pos").alias(f"p{x}"))
+    pairs = side(few, "a", "gram").join(side(few, "b", "gram"), "gram").where((F.col("a") < F.col("b")) & _possible(least, of)).select("a", "b")
+
+    # Sets that meet many are few, for most prefixes hold rare n-grams alone.
+    classed = cut(_classes(many, least, of))
+    votes = classed.groupBy("set").agg(F.count(F.lit(1)).alias("votes"))
+    homes = classed.join(votes, "set").groupBy("gram", "class").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.max(F.struct("votes", "set")).alias("best"))
+    classed = cut(classed.join(homes.where("homes > 0").select("gram", "class", "homes", F.col("best.set").alias("centre")), ["gram", "class"]))
+    near = classed.where(F.col("homes") <= TOGETHER)
+    met = side(near.where("home"), "a", "gram", "class").join(side(near, "b", "gram", "class", "home"), ["gram", "class"])
+    met = met.where((F.col("a") != F.col("b")) & (~F.col("home") | (F.col("a") < F.col("b"))) & _possible(least, of))
+    pairs = pairs.union(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    stars = classed.where((F.col("homes") > TOGETHER) & (F.col("set") != F.col("centre"))).select(F.col("set").alias("a"), F.col("centre").alias("b")).distinct()
+    return pairs, stars
+
+
+def _differences(stars: DataFrame, segments: DataFrame) -> DataFrame:
+    """For each set a and its centre b: na, nb, common, d (the number of differences) and tokens (an n-gram that only a has, or the complement of one that only b has)."""
+    own = _met(stars, segments)
+    tokens = F.concat(F.array_except("ga", "gb"), F.transform(F.array_except("gb", "ga"), F.bitwise_not))
+    parts = own.select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("ga", "gb")).cast("long").alias("common"), tokens.alias("tokens"))
+    parts = parts.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("common").alias("common"), F.first("tokens").alias("tokens"))
+    found = parts.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"), F.flatten(F.collect_list("tokens")).alias("tokens"))
+    return found.withColumn("d", F.size("tokens").cast("long"))
+
+
+def _across(differences: DataFrame, labels: DataFrame, least: int, of: int) -> DataFrame:
+    """Pairs (a, b) of different components that share one of their rarest differences from a centre and can be similar."""
+    tokens = differences.select(F.col("a").alias("set"), F.col("b").alias("centre"), F.col("na").alias("size"), "d", F.explode("tokens").alias("token"))
+    counts = tokens.groupBy("centre", "token").agg(F.count(F.lit(1)).alias("f"))
+    tokens = tokens.join(counts, ["centre", "token"])
+    # One set's differences from one centre: as many as its texts have n-grams.
+    order = W.partitionBy("centre", "set").orderBy("f", "token")
+    placed = tokens.withColumn("pos", (F.row_number().over(order) - 1).cast("long"))
+    # A link allows (of - least) / least * size differences at most, whatever its other set.
+    placed = placed.where((F.col("f") > 1) & (least * F.col("pos") <= (of - least) * F.col("size"))).withColumn("index", 2 * least * F.col("pos") <= (of - least) * F.col("size"))
+    placed = placed.join(labels.withColumnRenamed("node", "set"), "set", "left").select("centre", "token", "set", "size", "d", "pos", "index", F.coalesce("label", "set").alias("label"))
+    placed = cut(placed)
+    mixed = placed.groupBy("centre", "token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("index").alias("i")).where("x <> y AND i").select("centre", "token")
+    placed = cut(placed.join(mixed, ["centre", "token"]))
+    side = lambda rows, x: rows.select("centre", "token", F.col("set").alias(x), F.col("size").alias(f"n{x}"), F.col("d").alias(f"d{x}"), F.col("pos").alias(f"p{x}"), F.col("label").alias(f"l{x}"))
+    met = side(placed.where("index"), "a").join(side(placed, "b"), ["centre", "token"])
+    smaller = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
+    met = met.where((F.col("la") != F.col("lb")) & smaller & _possible_by_difference(least, of))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, least: int = 80, of: int = 100) -> DataFrame:
@@ -185,44 +284,40 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
 
     Null, empty and wordless texts have no n-grams and link with nothing. A
     null id counts as smaller than all others and stays null. Repeated rows
-    link with each other. An empty table gives no rows. Other columns are
-    ignored. N-grams count as equal when their 62-bit hashes are.
+    link with each other. A text is held whole, so a very long one takes memory
+    in proportion to its words. An empty table gives no rows. Other columns are
+    ignored. N-grams count as equal when their 62-bit hashes are, and sets when
+    the 64-bit hashes of their n-grams are.
     """
     spark = docs.sparkSession
     null_id = F.lit(-(1 << 63)).cast("long")
     texts = fields(docs, id=doc_id, text=text).select(F.coalesce("id", null_id).alias("id"), "text")
     scanned = cut(_scan(texts, n))
     counts = scanned.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "gram").limit(COMMON)
-    hot = np.array([tuple(r) for r in counts.collect()], np.int64).reshape(-1, 2)
+    hot = counts.toArrow()
+    hot = np.stack([hot.column(c).to_numpy() for c in ("gram", "count")], 1).astype(np.int64) if hot.num_rows else np.zeros((0, 2), np.int64)
     by_hash = np.argsort(hot[:, 0])
     common = spark.sparkContext.broadcast((hot[by_hash, 0], (len(hot) - 1 - by_hash).astype(np.int64)))
     documents = scanned.where("gram IS NULL").select("id", "size", "set")
     sets = documents.where("size > 0").groupBy("set").agg(F.min("id").alias("first"), F.max("size").alias("size"), F.count(F.lit(1)).alias("copies"))
 
     prefixes = cut(_prefixes(texts, n, common, least, of))
-    entries = prefixes.select("set", "size", F.explode("prefix").alias("gram"))
-    shared = entries.groupBy("gram").agg(F.min("set").alias("centre"), F.max("set").alias("last")).where("centre <> last").select("gram", "centre")
-    entries = cut(entries.join(shared, "gram").groupBy("gram", "set").agg(F.max("size").alias("size"), F.max("centre").alias("centre")))
-    votes = entries.where("set <> centre").groupBy("set", "centre").agg(F.count(F.lit(1)).alias("votes"))
-    stars = votes.groupBy("set").agg(F.max(F.struct("votes", "centre")).alias("best")).select(F.col("set").alias("a"), F.col("best.centre").alias("b"), "best.votes")
-    stars = stars.join(sets.select(F.col("set").alias("a"), F.col("size").alias("na")), "a").join(sets.select(F.col("set").alias("b"), F.col("size").alias("nb")), "b")
-    stars = cut(stars.where(_possible(least, of)).select("a", "b"))
-    found = cut(_links(stars, _segments(_texts_of(stars, sets, texts), n, common), least, of))
-    labels = connected_components(found)
-
-    grouped = entries.join(labels.withColumnRenamed("node", "set"), "set", "left").select("gram", "set", "size", F.coalesce("label", "set").alias("label"))
-    grouped = cut(grouped)
-    mixed = grouped.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gram")
-    open_ = cut(grouped.join(mixed, "gram"))
-    one = open_.select("gram", F.col("set").alias("a"), F.col("size").alias("na"), F.col("label").alias("la"))
-    two = open_.select("gram", F.col("set").alias("b"), F.col("size").alias("nb"), F.col("label").alias("lb"))
-    across = one.join(two, "gram").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")))
-    across = across.where((of * F.col("na") >= least * F.col("nb")) & (of * F.col("nb") >= least * F.col("na")))
-    # All n-grams that both prefixes hold have been met here, since sets of two components make an n-gram mixed.
-    across = across.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("votes")).where(_possible(least, of)).select("a", "b")
-    across = cut(across.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
-    more = _links(across, _segments(_texts_of(across, sets, texts), n, common), least, of)
-    links = cut(found.select("a", "b").union(more.select("a", "b")))
+    entries = prefixes.select("set", "size", F.posexplode("prefix").alias("pos", "gram"))
+    shared = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min("set").alias("x"), F.max("set").alias("y")).where("x <> y").select("gram", "c")
+    # Two tasks may meet one set.
+    entries = entries.join(shared, "gram").groupBy("gram", "set").agg(F.max("size").alias("size"), F.max("pos").cast("long").alias("pos"), F.max("c").alias("c"))
+    entries = cut(entries)
+    drop(prefixes)
+    pairs, stars = (cut(x) for x in _candidates(entries, least, of))
+    drop(entries)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).union(stars.select(F.explode(F.array("a", "b")).alias("set"))).distinct()
+    segments = cut(_segments(_texts_of(wanted, sets, texts), n, common))
+    differences = cut(_differences(stars, segments))
+    near = differences.where(of * F.col("common") >= least * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+    found = cut(_links(pairs, segments, least, of).union(near))
+    across = cut(_across(differences, connected_components(found), least, of))
+    links = cut(found.union(_links(across, segments, least, of)))
+    drop(segments, differences, across, pairs, stars, found)
     labels = connected_components(links)
 
     smallest = labels.join(sets.withColumnRenamed("set", "node"), "node").groupBy("label").agg(F.min("first").alias("component"))

@@ -188,6 +188,12 @@ def _possible(least: int, of: int) -> Column:
     return _similar_sizes(least, of) & (_most_common("na", "nb") * (of + least) >= least * (F.col("na") + F.col("nb")))
 
 
+def _enough(least: int, of: int) -> Column:
+    """Whether sets of na and nb n-grams can be similar if their prefixes share ``votes``: past the prefix that ends first, no more can be common than its set has left."""
+    left = F.greatest(F.ceil(F.col("na") * least / of), F.ceil(F.col("nb") * least / of)) - 1
+    return (F.col("votes") + left) * (of + least) >= least * (F.col("na") + F.col("nb"))
+
+
 def _possible_by_difference(least: int, of: int) -> Column:
     """The same, by their differences of da and db n-grams from a centre, which share one at places pa and pb."""
     apart = F.col("da") + F.col("db") - 2 * _most_common("da", "db")
@@ -228,7 +234,7 @@ def _candidates(entries: DataFrame, least: int, of: int) -> tuple[DataFrame, Dat
     """Pairs (a, b) to compare, and stars (a, b) of sets and the centres they go through, from entries (gram, set, size, pos, c)."""
     few, many = entries.where(F.col("c") <= TOGETHER), entries.where(F.col("c") > TOGETHER)
     side = lambda rows, x, *keys: rows.select(*keys, F.col("set").alias(x), F.col("size").alias(f"n{x}"), F.col("pos").alias(f"p{x}"))
-    pairs = side(few, "a", "gram").join(side(few, "b", "gram"), "gram").where((F.col("a") < F.col("b")) & _possible(least, of)).select("a", "b")
+    pairs = side(few, "a", "gram").join(side(few, "b", "gram"), "gram").where((F.col("a") < F.col("b")) & _possible(least, of)).select("a", "b", "na", "nb")
 
     # Sets that meet many are few, for most prefixes hold rare n-grams alone.
     classed = cut(_classes(many, least, of))
@@ -238,7 +244,10 @@ def _candidates(entries: DataFrame, least: int, of: int) -> tuple[DataFrame, Dat
     near = classed.where(F.col("homes") <= TOGETHER)
     met = side(near.where("home"), "a", "gram", "class").join(side(near, "b", "gram", "class", "home"), ["gram", "class"])
     met = met.where((F.col("a") != F.col("b")) & (~F.col("home") | (F.col("a") < F.col("b"))) & _possible(least, of))
-    pairs = pairs.union(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    first = F.col("a") < F.col("b")
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(first, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(first, F.col("nb")).otherwise(F.col("na")).alias("nb"))
+    # A pair without a centre has met at each n-gram that both prefixes hold.
+    pairs = pairs.union(met).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("votes")).where(_enough(least, of)).select("a", "b")
     stars = classed.where((F.col("homes") > TOGETHER) & (F.col("set") != F.col("centre"))).select(F.col("set").alias("a"), F.col("centre").alias("b")).distinct()
     return pairs, stars
 

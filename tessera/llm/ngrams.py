@@ -196,8 +196,9 @@ def _enough(least: int, of: int) -> Column:
 
 def _possible_by_difference(least: int, of: int) -> Column:
     """The same, by their differences of da and db n-grams from a centre, which share one at places pa and pb."""
-    apart = F.col("da") + F.col("db") - 2 * _most_common("da", "db")
-    return _similar_sizes(least, of) & ((of + least) * apart <= (of - least) * (F.col("na") + F.col("nb")))
+    # As many as they must share in all must be left from here on: the first that they share stands no later.
+    shared = F.least(_most_common("da", "db"), F.col("da") - F.col("pa"), F.col("db") - F.col("pb"))
+    return _similar_sizes(least, of) & ((of + least) * (F.col("da") + F.col("db") - 2 * shared) <= (of - least) * (F.col("na") + F.col("nb")))
 
 
 def _texts_of(wanted: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:

@@ -5,9 +5,13 @@ sample, cut the space into cells. Each cell has a summary: its radius and the
 distances of the k nearest to its pivot. From the summaries alone each query
 cell gets a score that its k best must reach, and an upper bound for every
 data cell; only data cells that can reach it get its queries. Data cells are
-cut into blocks of bounded size, query cells too, so one cell that holds a
-third of all rows is many tasks; each pair of blocks is solved by one matrix
-product, exact in double precision, and the per-block winners are merged.
+cut into blocks of bounded size, query cells too, and dealt by cell and block,
+so one cell that holds a third of all rows is many tasks; each pair of blocks
+is solved by one matrix product, in double precision where that is exact and
+in 64-bit integers elsewhere, and the per-block winners are merged.
+
+Where the bounds prune nothing, as for vectors without clusters, the work is
+that of every query against all rows, in blocks.
 """
 
 from __future__ import annotations
@@ -57,6 +61,14 @@ def _blocks(rows: DataFrame, size: int, salts: DataFrame, name: str) -> DataFram
     return dealt.groupBy("cell", "block").agg(F.collect_list(F.struct("vec_id", "v")).alias("rows")).select("cell", "block", F.col("rows.vec_id").alias("ids"), F.flatten("rows.v").alias("flat"))
 
 
+def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact inner products of integer vectors, as int64."""
+    largest = float(np.abs(q).astype(float).sum(1).max()) * float(np.abs(x).astype(float).max())
+    if largest < 2.0**52:
+        return np.rint(q.astype(float) @ x.astype(float).T).astype(np.int64)
+    return q @ x.T
+
+
 def _needed(stats: dict[int, tuple], groups: dict[int, tuple], pivots: np.ndarray, k: int) -> list[tuple[int, int]]:
     """(query cell, data cell) pairs that can hold one of the k best of a query."""
     p = pivots.astype(float)
@@ -70,7 +82,7 @@ def _needed(stats: dict[int, tuple], groups: dict[int, tuple], pivots: np.ndarra
         # q = p[g] + e with |e| <= reach; x = p[c] + f with |f| = dist.
         dots = p @ p[g]
         low = dots[near_cell] - norms[g] * near_dist - reach * (norms[near_cell] + near_dist)
-        # One more than k: the query itself may be among those counted.
+        # One more than k: those counted have different ids, so the query itself is one of them at most.
         floor = np.partition(low, -(k + 1))[-(k + 1)] if len(low) > k else -np.inf
         high = dots[cells] + norms[g] * radius + reach * (norms[cells] + radius)
         pairs += [(int(g), int(c)) for c in cells[high >= floor - 1e-6 * (1 + abs(floor))]]
@@ -85,7 +97,8 @@ def top_k(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     own id are its own). Ties go to the smaller id, then any. Rows with a null
     id, a null or empty vector, null or non-finite components, or another
     length than most take no part. An empty table gives no rows. Other columns
-    are ignored. Repeated query rows are one query.
+    are ignored. Repeated query rows are one query, of one of their vectors.
+    Scores must fit 64-bit integers.
     """
     spark = vectors.sparkSession
     v = F.transform("e", lambda x: F.floor(x.cast("double") * scale).cast("long"))
@@ -102,10 +115,11 @@ def top_k(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     is_query = F.col("vec_id") % every == 0
     queries = placed.where(is_query).dropDuplicates(["vec_id"])
     summary = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("radius"))
-    nearest = placed.select("cell", "dist", F.row_number().over(W.partitionBy("cell").orderBy("dist")).alias("r")).where(F.col("r") <= k + 1).groupBy("cell").agg(F.collect_list("dist").alias("near"))
+    once = placed.groupBy("vec_id").agg(F.min(F.struct("dist", "cell")).alias("x")).select("x.dist", "x.cell")
+    nearest = once.select("cell", "dist", F.row_number().over(W.partitionBy("cell").orderBy("dist")).alias("r")).where(F.col("r") <= k + 1).groupBy("cell").agg(F.collect_list("dist").alias("near"))
     asked = queries.groupBy("cell").agg(F.count(F.lit(1)).alias("nq"), F.max("dist").alias("reach"))
     # At most PIVOTS rows each.
-    stats = {r.cell: (r.radius, r.near, r.n) for r in summary.join(nearest, "cell").collect()}
+    stats = {r.cell: (r.radius, r.near or [], r.n) for r in summary.join(nearest, "cell", "left").collect()}
     groups = {r.cell: (r.reach, r.nq) for r in asked.collect()}
     pairs = _needed({c: s[:2] for c, s in stats.items()}, {g: r for g, (r, _) in groups.items()}, pivots, k)
     if not pairs:
@@ -116,25 +130,22 @@ def top_k(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     asking = _blocks(queries.select("vec_id", "v", "cell"), QUERY_BLOCK, query_sizes, "nq")
     need = spark.createDataFrame(pairs, "cell int, target int")
     asking = asking.join(F.broadcast(need), "cell").select(F.col("target").alias("cell"), F.col("ids").alias("qids"), F.col("flat").alias("qflat"))
-    met = data.join(asking, "cell").select("ids", "flat", "qids", "qflat")
+    last = F.greatest(F.lit(1), F.ceil(F.col("n") / DATA_BLOCK)) - 1
+    asking = asking.join(F.broadcast(sizes), "cell").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long")))).drop("n")
+    met = data.join(asking, ["cell", "block"]).select("ids", "flat", "qids", "qflat")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[np.ndarray]] = [[], [], []]
             for row in range(batch.num_rows):
                 ids, flat, qids, qflat = (c[row].values.to_numpy() for c in batch.columns)
-                x, q = flat.reshape(len(ids), -1).astype(float), qflat.reshape(len(qids), -1).astype(float)
-                scores = np.rint(q @ x.T)
-                scores[qids[:, None] == ids[None, :]] = -np.inf
+                scores = _scores(qflat.reshape(len(qids), -1), flat.reshape(len(ids), -1))
                 for i in range(len(qids)):
-                    s = scores[i]
-                    if len(s) > k:
-                        keep = np.flatnonzero(s >= np.partition(s, -k)[-k])
-                        keep = keep[np.lexsort((ids[keep], -s[keep]))][:k]
-                    else:
-                        keep = np.arange(len(s))
-                    keep = keep[np.isfinite(s[keep])]
-                    for column, value in zip(out, (np.full(len(keep), qids[i]), ids[keep], s[keep].astype(np.int64)), strict=True):
+                    others = np.flatnonzero(ids != qids[i])
+                    s = scores[i][others]
+                    keep = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
+                    keep = keep[np.lexsort((ids[others[keep]], -s[keep]))][:k]
+                    for column, value in zip(out, (np.full(len(keep), qids[i]), ids[others[keep]], s[keep]), strict=True):
                         column.append(value)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "score"])

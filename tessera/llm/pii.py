@@ -1,13 +1,21 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
 Patterns find e-mail and IP addresses, card and phone numbers. The field's
-nodes are the tokens of a document that hold digits or an @. Unary potentials
-are a softmax over a token's shape and its context (words such as "password"
-before it); neighbouring nodes share a chain potential, and repeated tokens,
-however far apart, a skip potential. Nodes within pattern matches are clamped.
-Loopy message passing then carries labels from clear mentions to unclear ones,
-so a secret that is named once is found wherever it stands. Weights are
-trained on a bounded sample of documents, by pattern matches and named secrets.
+nodes are the tokens of a document that may be personal: those with a digit or
+an @, those that a word such as "password" names, and all, of whatever shape,
+that repeat a named one. Each has unary potentials, a product of label weights
+and features (shape, context, lying in a pattern match). Neighbouring nodes
+share a chain potential; equal tokens, however far apart, and similar ones
+(equal but for case and punctuation) share skip potentials. Loopy message
+passing makes the labels of a document's mentions agree: a secret that is
+named once is found wherever it stands, and an ordinary word that follows
+"token:" once but stands elsewhere too is left alone.
+
+All weights are trained together, to the greatest posterior probability: the
+likelihood's gradient is counts less expected counts by message passing over a
+bounded sample of documents, where tokens outside matches and names count as
+negatives; a Gaussian prior around the weights below keeps what a corpus says
+nothing about where it is.
 """
 
 from __future__ import annotations
@@ -27,7 +35,7 @@ from tessera.llm.common import fields
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS, "secret")
-SAMPLE, ROUNDS, SURE = 2000, 6, 0.8
+SAMPLE, ROUNDS, SURE = 2000, 8, 0.8
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
@@ -36,6 +44,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"\S+")
 _CUE = re.compile(r"(?i)\b(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential)\w*$")
+_CUED = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential)\w*[\"']?\s*[=:]")
 _INNER = re.compile(r"[^\s=:\"'`<>()\[\]{},;]+")
 
 
@@ -83,138 +92,189 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return found
 
 
-FEATURES = 12
-
-
-def nodes(text: str) -> list[tuple[int, int, str, int, bool]]:
-    """Tokens with a digit or an @: (start, end, key for skip links, place among all tokens, named as a secret)."""
-    out, before = [], ["", ""]
+@dataclass
+class Node:
+    """A token: place in the text, key and skeleton for skip links, place among all tokens, and what is seen of it."""
+
+    start: int
+    end: int
+    key: str
+    skeleton: str
+    place: int
+    named: bool
+    quoted: bool
+
+
+def nodes(text: str) -> list[Node]:
+    """Tokens that may be personal, in order; empty for most texts."""
+    if not (_DIGIT.search(text) or "@" in text or _CUED.search(text)):
+        return []
+    out: list[Node] = []
+    rest: list[Node] = []
+    before = ["", ""]
     for place, m in enumerate(_TOKEN.finditer(text)):
         token = m.group()
-        if _DIGIT.search(token) or "@" in token:
+        marked = "=" in before[1] or ":" in before[1]
+        shaped = _DIGIT.search(token) or "@" in token
+        if shaped or marked or "=" in token or ":" in token:
             pieces = list(_INNER.finditer(token))
             for k, piece in enumerate(pieces):
                 s = piece.group().strip(".!?")
-                if len(s) < 4 or not (_DIGIT.search(s) or "@" in s):
+                if len(s) < 4:
                     continue
                 lead = pieces[k - 1].group() if k else (before[1] if before[1].strip("=:\"'") else before[0])
-                cut_ = k > 0 or "=" in before[1] or ":" in before[1]
+                named = bool((k > 0 or marked) and _CUE.search(lead.strip("=:\"'")))
                 at = m.start() + piece.start() + piece.group().find(s)
-                out.append((at, at + len(s), s.lower(), place, bool(cut_ and _CUE.search(lead.strip("=:\"'")))))
+                node = Node(at, at + len(s), s.lower(), "".join(filter(str.isalnum, s.lower())), place, named, at > 0 and text[at - 1] in "\"'`")
+                (out if named or _DIGIT.search(s) or "@" in s else rest).append(node)
         before = [before[1], token]
+    names = {x.skeleton for x in out if x.named and not (_DIGIT.search(x.key) or "@" in x.key)}
+    if names:
+        # Words of any shape that repeat a named one.
+        known = {x.start for x in out}
+        for place, m in enumerate(_TOKEN.finditer(text)):
+            for piece in _INNER.finditer(m.group()):
+                s = piece.group().strip(".!?")
+                skeleton = "".join(filter(str.isalnum, s.lower()))
+                at = m.start() + piece.start() + piece.group().find(s)
+                if skeleton in names and at not in known:
+                    out.append(Node(at, at + len(s), s.lower(), skeleton, place, False, at > 0 and text[at - 1] in "\"'`"))
+        out.sort(key=lambda x: x.start)
     return out
 
 
-def features(key: str, named: bool) -> np.ndarray:
-    digits = sum(map(str.isdecimal, key))
-    letters = sum(map(str.isalpha, key))
-    hexed = all(c in "0123456789abcdef" for c in key)
-    x = (1, named, digits == len(key), digits and letters, hexed and letters > 0 and len(key) >= 12, "@" in key, key.count(".") == 3, len(key) >= 16, len(key) < 8, key.startswith("+"), digits >= 13, letters > digits)
-    return np.array(x, float)
+#: Names of the features; ``in_...``: the token overlaps a pattern match.
+FEATURES = ("bias", "named", "letters", "digits", "mixed", "hex", "long", "short", "at", "dots", "plus", "quoted", *(f"in_{k}" for k in KINDS))
+#: Means of the Gaussian prior of the unary weights, by label; others have mean 0. Standard deviation: 1.
+PRIOR = {
+    "other": {"bias": 2.0},
+    **{k: {"bias": -4.0, f"in_{k}": 11.0} for k in KINDS},
+    "secret": {"named": 18.0, "letters": -4.5, "digits": -3.0, "mixed": 0.5, "hex": 1.0, "long": 0.5, "short": -1.0, "at": -4.0, "dots": -3.0, "plus": -3.0, **{f"in_{k}": -4.0 for k in KINDS}},
+}
+#: Prior means of the pair potentials, by kind of edge: what labels that agree gain and others lose.
+AGREE = {"chain": 0.0, "same": 6.0, "similar": 5.0}
+
+
+def features(x: Node, inside: int) -> list[float]:
+    key = x.key
+    digits, letters = sum(map(str.isdecimal, key)), sum(map(str.isalpha, key))
+    hexed = digits > 0 and letters > 0 and len(key) >= 16 and all(c in "0123456789abcdef" for c in key)
+    seen = (1, x.named, not digits, digits == len(x.skeleton) and digits > 0, digits > 0 and letters > 0, hexed, len(key) >= 16, len(key) < 8, "@" in key, key.count(".") == 3, key.startswith("+"), x.quoted)
+    return [*map(float, seen), *(float(inside == k + 1) for k in range(len(KINDS)))]
 
 
 @dataclass
 class Field:
-    """Unary weights (label, feature), chain and skip potentials (label, label)."""
+    """Unary weights (label, feature) and pair potentials (kind of edge, label, label)."""
 
     unary: np.ndarray
-    chain: np.ndarray
-    skip: np.ndarray
+    pairs: np.ndarray
+
+
+def prior() -> Field:
+    unary = np.array([[PRIOR[label].get(f, 0.0) for f in FEATURES] for label in LABELS])
+    agree = 2 * np.eye(len(LABELS)) - 1
+    return Field(unary, np.stack([agree * v for v in AGREE.values()]))
 
 
-def _clamped(found: dict[str, list[tuple[int, int]]], own: list[tuple]) -> np.ndarray:
-    """The label of the pattern match that a node overlaps, or -1."""
+def _inside(found: dict[str, list[tuple[int, int]]], own: list[Node]) -> list[int]:
+    """The label of the pattern match that a node overlaps, or 0."""
     spans = sorted((s, e, 1 + k) for k, kind in enumerate(KINDS) for s, e in found[kind])
     starts = [s for s, _, _ in spans]
-    out = np.full(len(own), -1)
-    for i, (s, e, *_) in enumerate(own):
-        for j in range(max(0, bisect_right(starts, e - 1) - 4), bisect_right(starts, e - 1)):
-            if spans[j][1] > s:
+    out = [0] * len(own)
+    for i, x in enumerate(own):
+        until = bisect_right(starts, x.end - 1)
+        for j in range(max(0, until - 4), until):
+            if spans[j][1] > x.start:
                 out[i] = spans[j][2]
     return out
 
 
-def fit(texts: list[str]) -> Field:
-    """Softmax regression for the unary weights; smoothed log-ratios of label pairs for the others."""
-    n = len(LABELS)
-    xs, ys = [], []
-    chain, skip = np.ones((n, n)), np.ones((n, n)) * 0.2 + np.eye(n) * 4
-    for text in texts:
-        own = nodes(text)
-        y = _clamped(base_spans(text), own)
-        # What is named as a secret once is one wherever it stands in the document.
-        named = {x[2] for x in own if x[4]}
-        y = np.where(y >= 0, y, [n - 1 if x[2] in named else 0 for x in own] if own else y)
-        seen: dict[str, int] = {}
-        for i, x in enumerate(own):
-            xs.append(features(x[2], x[4]))
-            ys.append(y[i])
-            if i and x[3] - own[i - 1][3] <= 3:
-                chain[y[i - 1], y[i]] += 1
-                chain[y[i], y[i - 1]] += 1
-            if x[2] in seen:
-                skip[y[seen[x[2]]], y[i]] += 1
-                skip[y[i], y[seen[x[2]]]] += 1
-            seen[x[2]] = i
-    w = np.zeros((n, FEATURES))
-    w[0, 0] = 1.0
-    if xs:
-        x, y = np.array(xs), np.eye(n)[np.array(ys)]
-        for _ in range(400):
-            z = x @ w.T
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            w -= 0.5 * ((p - y).T @ x / len(x) + 1e-4 * w)
-    ratio = lambda c: np.log(c / c.sum() / np.outer(c.sum(1), c.sum(0)) * c.sum() ** 2)
-    # A chain of few counts says little; half its weight is kept.
-    return Field(w, 0.5 * np.clip(ratio(chain), -2, 2), np.clip(ratio(skip), -4, 4))
-
-
-def infer(field: Field, own: list[tuple], clamped: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Label probabilities of the nodes by loopy message passing."""
-    n = len(LABELS)
-    unary = np.array([features(x[2], x[4]) for x in own]) @ field.unary.T
-    fixed = clamped >= 0
-    unary[fixed] = -30
-    unary[fixed, clamped[fixed]] = 0
-    edges, last = [], {}
+def edges(own: list[Node]) -> list[tuple[int, int, int]]:
+    """(node, later node, kind): neighbours at most three tokens apart, and each mention's next equal or similar one."""
+    out, last = [], {}
     for i, x in enumerate(own):
-        if i and x[3] - own[i - 1][3] <= 3:
-            edges.append((i - 1, i, 0))
-        if x[2] in last:
-            edges.append((last[x[2]], i, 1))
-        last[x[2]] = i
-    belief = unary
-    if edges:
-        a, b, kind = np.array(edges).T
-        source, target = np.r_[a, b], np.r_[b, a]
-        psi = np.stack([field.chain, field.skip])[np.r_[kind, kind]]
-        back = np.r_[np.arange(len(a), 2 * len(a)), np.arange(len(a))]
-        messages = np.zeros((2 * len(a), n))
-        for _ in range(rounds):
-            rest = belief[source] - messages[back]
-            z = rest[:, :, None] + psi
-            top = z.max(1)
-            new = top + np.log(np.exp(z - top[:, None, :]).sum(1))
-            messages = 0.5 * messages + 0.5 * (new - new.max(1, keepdims=True))
-            belief = unary.copy()
-            np.add.at(belief, target, messages)
+        if i and x.place - own[i - 1].place <= 3:
+            out.append((i - 1, i, 0))
+        if (j := last.get(x.skeleton)) is not None:
+            out.append((j, i, 1 if own[j].key == x.key else 2))
+        last[x.skeleton] = i
+    return out
+
+
+def pass_messages(field: Field, x: np.ndarray, links: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Label probabilities of nodes, and of pairs of labels on edges (node, node, kind), by loopy message passing."""
+    unary = x @ field.unary.T
+    n = len(LABELS)
+    belief, a, b, kind = unary, *links.reshape(-1, 3).T
+    m = len(a)
+    source, target, back = np.r_[a, b], np.r_[b, a], np.r_[np.arange(m, 2 * m), np.arange(m)]
+    psi = field.pairs[np.r_[kind, kind]]
+    messages = np.zeros((2 * m, n))
+    for _ in range(rounds if m else 0):
+        z = (belief[source] - messages[back])[:, :, None] + psi
+        top = z.max(1)
+        new = top + np.log(np.exp(z - top[:, None, :]).sum(1))
+        messages = 0.3 * messages + 0.7 * (new - new.max(1, keepdims=True))
+        belief = unary.copy()
+        np.add.at(belief, target, messages)
     p = np.exp(belief - belief.max(1, keepdims=True))
-    return p / p.sum(1, keepdims=True)
+    z = (belief[a] - messages[m:])[:, :, None] + (belief[b] - messages[:m])[:, None, :] + psi[:m]
+    q = np.exp(z - z.max((1, 2), keepdims=True)) if m else np.zeros((0, n, n))
+    return p / p.sum(1, keepdims=True), q / q.sum((1, 2), keepdims=True)
+
+
+#: Ordinary tokens of letters and digits, which every fit counts as negatives: a corpus may hold no such token but in secrets.
+ORDINARY = """
+windows10 covid19 utf8 sha256sum x86 ipv4addr base64 html5video css3 area51 route66 level42 vitaminb12 3dprinter 4x4drive 2ndhand 1990s
+100mbps fy2023 boeing747 airbus380 win32api rs232port i18n k8scluster log4j h2database rtx3080 a4paper 10kg 12hours oct2021 room101b
+gate14c mp3player nov30th 5pm version2 chapter12 figure3b appendix2c gpt2 llama70b room12 step2 team7 phase3 unit42 block5c page12of90
+"""
 
 
-def all_spans(field: Field, text: str) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int]]]:
+def fit(texts: list[str], turns: int = 80) -> Field:
+    """The field of the greatest posterior probability, by gradient steps of a size of their own for each weight."""
+    texts = [*texts, *ORDINARY.split()]
+    field, mean = prior(), prior()
+    n = len(LABELS)
+    xs, ys, links = [], [], []
+    for text in texts:
+        own = nodes(text)
+        inside = _inside(base_spans(text), own)
+        # What is named as a secret once is one wherever it stands in the document.
+        named = {x.skeleton for x in own if x.named}
+        links += [(i + len(xs), j + len(xs), k) for i, j, k in edges(own)]
+        ys += [k or (n - 1 if x.skeleton in named else 0) for x, k in zip(own, inside, strict=True)]
+        xs += [features(x, k) for x, k in zip(own, inside, strict=True)]
+    if not xs:
+        return field
+    x, y, e = np.array(xs), np.eye(n)[ys], np.array(links, np.int64).reshape(-1, 3)
+    pairs = np.zeros((len(e), n, n))
+    pairs[np.arange(len(e)), np.array(ys)[e[:, 0]], np.array(ys)[e[:, 1]]] = 1
+    square = [np.full(field.unary.shape, 1e-8), np.full(field.pairs.shape, 1e-8)]
+    for turn in range(turns):
+        p, q = pass_messages(field, x, e)
+        unary = (y - p).T @ x - (field.unary - mean.unary)
+        both = np.stack([(pairs - q)[e[:, 2] == k].sum(0) for k in range(len(AGREE))])
+        both = both + both.transpose(0, 2, 1) - (field.pairs - mean.pairs)
+        steps = []
+        for k, g in enumerate((unary, both)):
+            square[k] = 0.9 * square[k] + 0.1 * g * g
+            steps.append(0.15 / (1 + turn / 20) * g / np.sqrt(square[k]))
+        field = Field(field.unary + steps[0], field.pairs + steps[1])
+    return field
+
+
+def all_spans(field: Field, text: str, rounds: int = ROUNDS) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int]]]:
     """Pattern matches, and all spans: those and the field's own, by kind as in LABELS, then start."""
     found = base_spans(text)
     spans = [(kind, s, e) for kind in KINDS for s, e in found[kind]]
-    if _DIGIT.search(text) or "@" in text:
-        own = nodes(text)
-        clamped = _clamped(found, own)
-        if own and (clamped < 0).any():
-            p = infer(field, own, clamped)
-            p[clamped >= 0] = 0
-            for i in np.flatnonzero((p[:, 1:].max(1) >= SURE) & (p.argmax(1) > 0)):
-                spans.append((LABELS[p[i].argmax()], own[i][0], own[i][1]))
+    own = nodes(text)
+    inside = _inside(found, own)
+    if not all(inside):
+        p, _ = pass_messages(field, np.array([features(x, k) for x, k in zip(own, inside, strict=True)]), np.array(edges(own), np.int64).reshape(-1, 3), rounds)
+        for i in np.flatnonzero((p[:, 1:].max(1) >= SURE) & (np.array(inside) == 0)):
+            spans.append((LABELS[p[i].argmax()], own[i].start, own[i].end))
     return found, sorted(spans, key=lambda x: (LABELS.index(x[0]), x[1], x[2]))
 
 
@@ -255,6 +315,18 @@ def find_personal_data(docs: DataFrame, field: Field, doc_id: str = "doc_id", te
     return fields(docs, doc_id=doc_id, text=text).mapInArrow(run, f"doc_id long, base {one}, spans {one}" + ", text string" * redact)
 
 
+def redact(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
+    """docs, all columns, with the kind in brackets in place of each span, as find_personal_data does it; rows are changed where they are read, with no shuffle."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(field), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t and redacted(t, all_spans(shared.value, t)[1]) for t in (value.as_py() for value in batch.column(at))]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
     out, at = [], 0
     for kind, s, e in sorted(spans, key=lambda x: (x[1], x[2])):

@@ -25,8 +25,11 @@ from tessera.llm.common import SPACE, cut, fields
 SAMPLES = 32
 #: Documents in a range of ids, on average; and the most ranges.
 RANGE_ROWS, RANGES = 500, 65_536
-#: Bits of a hash that choose among equally likely values of r and of ln c.
-R_BITS, C_BITS = 9, 10
+#: Quantiles of the ids by which ranges are cut; between two of them, ranges are equally wide.
+QUANTILES = 256
+NULL_ID = -(1 << 63)
+#: Bits of a hash that choose among equally likely values of r, of ln c and of b; together 32.
+R_BITS, C_BITS, B_BITS = 9, 10, 13
 
 
 def gamma_quantiles(bits: int) -> np.ndarray:
@@ -60,20 +63,21 @@ def _bits(h: Column, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def sample_key(word: Column, ln_weight: Column, k: int) -> Column:
+def sample_key(word: Column, draws: Column, ln_weight: Column, k: int) -> Column:
     """A long that orders the words of a document by their k-th sample's value, and names word and t in its lower half.
 
-    r, c and b come from separate bits of one hash: r and ln c through tables
-    of quantiles (logarithms cost most of the time otherwise), but the lowest
-    part of c, which decides the minima of long texts, exactly.
+    r, c and b come from separate bits of one half of ``draws``, a hash of the
+    word that serves two samples: r and ln c through tables of quantiles
+    (logarithms cost most of the time otherwise), but the lowest part of c,
+    which decides the minima of long texts, exactly and by a hash of its own.
     """
-    h = F.xxhash64(word, F.lit(k))
-    r = F.get(_table(gamma_quantiles(R_BITS)), _bits(h, 0, R_BITS).cast("int"))
-    c = _bits(h, R_BITS, C_BITS)
-    fine = (_bits(h, 43, 20) + F.lit(0.5)) * F.lit(2.0**-20 / (1 << C_BITS))
+    at = 32 * (k % 2)
+    r = F.get(_table(gamma_quantiles(R_BITS)), _bits(draws, at, R_BITS).cast("int"))
+    c = _bits(draws, at + R_BITS, C_BITS)
+    fine = (_bits(F.xxhash64(word, F.lit(SAMPLES + k)), 0, 40) + F.lit(0.5)) * F.lit(2.0**-40 / (1 << C_BITS))
     # Gamma(2, 1) has the distribution function x ** 2 / 2 near 0.
     ln_c = F.when(c == 0, F.log(fine * 2) * 0.5).otherwise(F.get(_table(np.log(gamma_quantiles(C_BITS))), c.cast("int")))
-    b = (_bits(h, R_BITS + C_BITS, 24) + F.lit(0.5)) * F.lit(2.0**-24)
+    b = (_bits(draws, at + R_BITS + C_BITS, B_BITS) + F.lit(0.5)) * F.lit(2.0**-B_BITS)
     t = F.when(ln_weight == 0, F.lit(0).cast("long")).otherwise(F.floor(ln_weight / r + b))
     value = ln_c - r * (t - b + 1)
     # Values lie within +-100 or so; the upper 32 bits hold them in steps of 2 ** -23.
@@ -93,8 +97,8 @@ def fingerprint_rows(rows: DataFrame, keys: list[str], text: str, carried: list[
     hashed = rows.select(*keys, *carried, word_hashes(F.col(text)).alias("hashes"))
     ended = hashed.select(*keys, *carried, "hashes", run_ends(F.col("hashes")).alias("ends"))
     weighed = ended.select(*keys, *carried, F.explode_outer(F.transform(F.slice("ends", 2, F.greatest(F.size("ends") - 1, F.lit(0))), lambda e, k: F.struct(F.get("hashes", e).alias("h"), (e - F.get("ends", k)).alias("n")))).alias("x"))
-    terms = weighed.select(*keys, *carried, F.col("x.h").alias("h"), F.log(F.col("x.n").cast("double")).alias("w"))
-    lows = terms.groupBy(*keys).agg(*[F.max(c).alias(c) for c in carried], *[F.min(sample_key(F.col("h"), F.col("w"), k)).alias(f"s{k}") for k in range(samples)])
+    terms = weighed.select(*keys, *carried, F.col("x.h").alias("h"), F.log(F.col("x.n").cast("double")).alias("w"), *[F.xxhash64("x.h", F.lit(k)).alias(f"d{k}") for k in range((samples + 1) // 2)])
+    lows = terms.groupBy(*keys).agg(*[F.max(c).alias(c) for c in carried], *[F.min(sample_key(F.col("h"), F.col(f"d{k // 2}"), F.col("w"), k)).alias(f"s{k}") for k in range(samples)])
     parts = [F.lower(F.lpad(F.hex(F.coalesce(F.col(f"s{k}").bitwiseAND(F.lit((1 << 32) - 1)), F.lit(0))), 8, "0")) for k in range(samples)]
     return lows.select(*keys, *carried, F.concat_ws("-", *parts).alias("fingerprint"))
 
@@ -105,6 +109,26 @@ def _sha_numbers(text: Column) -> list[Column]:
     return [F.conv(F.substring(digest, 16 * k + 1, 16), 16, -10).cast("long").alias(f"sha{k}") for k in range(4)]
 
 
+def id_ranges(rows: DataFrame) -> Column:
+    """The number of a row's range, from 0 for the largest ids: some RANGE_ROWS rows each, wherever ids lie dense or far apart. Null ids are split by a hash of their text, in its order."""
+    known = F.when(F.col("id") != NULL_ID, F.col("id"))
+    size = rows.agg(F.count(known).alias("n"), F.count(F.lit(1)).alias("all"), F.min(known).alias("low"), F.max(known).alias("high")).first()
+    ranges = min(RANGES, max(1, size.n // RANGE_ROWS))
+    coarse = min(QUANTILES, ranges)
+    fine = ranges // coarse
+    # QUANTILES numbers at most.
+    found = rows.agg(F.percentile_approx(known, [k / coarse for k in range(1, coarse)], 10_000).alias("q")).first().q if coarse > 1 else []
+    bounds = sorted({x for x in found or [] if size.low < x <= size.high}, reverse=True)
+    tops, bottoms = [(size.high or 0) + 1, *bounds], [*bounds, size.low or 0]
+    large = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in bounds]), lambda x: x > F.col("id"))) if bounds else F.lit(0)
+    pick = lambda values: F.get(F.array(*[F.lit(float(x)) for x in values]), large)
+    within = F.floor((pick(tops) - 1 - F.col("id").cast("double")) / (pick(tops) - pick(bottoms)) * fine)
+    numbered = (large * fine + F.least(F.greatest(within, F.lit(0)), F.lit(fine - 1))).cast("int")
+    nulls = min(RANGES, max(1, (size["all"] - size.n) // RANGE_ROWS))
+    hashed = F.floor((F.xxhash64("text").cast("double") + F.lit(2.0**63)) * F.lit(nulls * 2.0**-64))
+    return F.when(F.col("id") != NULL_ID, numbered).otherwise((len(tops) * fine + F.least(hashed, F.lit(nulls - 1))).cast("int"))
+
+
 def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document, with its fingerprint and its edited text's: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
@@ -115,13 +139,8 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     fingerprint of zeros, and agree with each other fully. A table of one row
     is its own next. An empty table gives no rows. Other columns are ignored.
     """
-    rows = fields(docs, doc_id=doc_id, text=text).select(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    extent = rows.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).first()
-    low, high, n = extent.low or 0, extent.high or 0, extent.n
-    ranges = int(min(RANGES, max(1, n // RANGE_ROWS)))
-    # Descending: range 0 has the largest ids.
-    place = ((F.lit(float(high)) - F.col("id").cast("double")) * F.lit(ranges / (float(high) - float(low) + 1))).cast("int")
-    rows = rows.withColumn("range", F.least(F.greatest(place, F.lit(0)), F.lit(ranges - 1)))
+    rows = fields(docs, doc_id=doc_id, text=text).select(F.coalesce("doc_id", F.lit(NULL_ID).cast("long")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("range", id_ranges(rows))
     order = [F.desc("id"), F.xxhash64("text"), F.col("text")]
     # The first document of each range: as many rows as there are ranges, at most RANGES.
     largest = rows.groupBy("range").agg(F.max("id").alias("id"))
@@ -142,7 +161,7 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     prints = prints.withColumn("edited_fingerprint", F.lead("fingerprint", 1).over(nearby)).withColumn("next_print", F.lead("fingerprint", 2).over(nearby)).where("version = 0")
     prints = prints.join(following.select("range", "head_print"), "range").withColumn("next_print", F.coalesce("next_print", "head_print"))
     return prints.select(
-        F.when(F.col("id") != -(1 << 63), F.col("id")).alias("doc_id"),
+        F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"),
         F.col("n_chars").cast("long").alias("n_chars"),
         F.concat(*[F.lower(F.lpad(F.hex(f"sha{k}"), 16, "0")) for k in range(4)]).alias("edited_sha256"),
         "fingerprint",

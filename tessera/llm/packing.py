@@ -29,6 +29,8 @@ CAPACITY, SEPARATOR = 2048, 0
 SALTS = 512
 #: Words kept in each of a worker's two caches of encodings.
 CACHE = 600_000
+#: Characters of the longest word kept, which bounds the caches in bytes too.
+CACHED_LENGTH = 64
 MARKS = ".,;:!?$%"
 _encoders: dict[str, WordEncoder] = {}
 
@@ -51,6 +53,15 @@ class WordEncoder:
         # Once the cache is full it becomes the older one, which is only asked for words that the new one lacks.
         self.cache: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
+        #: Whether a character's normal form ends in a letter.
+        self.letters: dict[str, bool] = {}
+
+    def _ends_in_letter(self, word: str) -> bool:
+        c = word[-1]
+        if c not in self.letters:
+            normal = self.tokenizer.normalizer.normalize_str(c) if self.tokenizer.normalizer else c
+            self.letters[c] = c.isalpha() and normal[-1:].isalpha()
+        return self.letters[c]
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -75,7 +86,7 @@ class WordEncoder:
                 fresh[w] = known
             else:
                 core = w.rstrip(MARKS)
-                split[w] = (core, w[len(core) :]) if core and core[-1].isalpha() else (w, "")
+                split[w] = (core, w[len(core) :]) if core and self._ends_in_letter(core) else (w, "")
         own = {x: self.cache.get(x) or self.older.get(x) for pair in split.values() for x in pair}
         new = [x for x, known in own.items() if x and known is None]
         own.update(zip(new, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)], strict=True))
@@ -85,8 +96,8 @@ class WordEncoder:
             ids[k] = fresh[words[k]]
         if len(self.cache) + 2 * len(fresh) > CACHE:
             self.cache, self.older = {"": b""}, self.cache
-        self.cache.update(own)
-        self.cache.update(fresh)
+        for known in (own, fresh):
+            self.cache.update((w, x) for w, x in known.items() if len(w) <= CACHED_LENGTH)
         return b"".join(ids)
 
 
@@ -112,22 +123,18 @@ def cut_into_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_i
     return docs.mapInArrow(pieces, schema)
 
 
-def patterns(present: np.ndarray, capacity: int, most: int = 120_000) -> np.ndarray:
-    """Sorted triples of lengths (0: none) of one to three documents that fill a sequence; with over ``most`` of them, on a coarser grid of the shortest."""
+def patterns(present: np.ndarray, capacity: int) -> np.ndarray:
+    """All sorted triples of lengths (0: none) of one to three documents that fill a sequence; at most capacity ** 2 / 12 or so."""
     have = np.zeros(capacity + 1, bool)
     have[present] = True
     have[0] = True
     lengths = np.flatnonzero(have)
-    step = 1
-    while True:
-        small = lengths[lengths % step == 0]
-        a, b = np.meshgrid(small, lengths[::step] if step > 1 else lengths, indexing="ij")
-        c = capacity - a - b
-        ok = (a <= b) & (b <= c) & (c >= 0)
-        ok &= have[np.where(ok, c, 0)]
-        if ok.sum() <= most:
-            return np.stack([a[ok], b[ok], c[ok]], 1)
-        step *= 2
+    found = []
+    for a in lengths[lengths <= capacity // 3]:
+        b = lengths[(lengths >= a) & (lengths <= (capacity - a) // 2)]
+        b = b[have[capacity - a - b]]
+        found.append(np.stack([np.full(len(b), a), b, capacity - a - b], 1))
+    return np.concatenate(found)
 
 
 def fit_counts(histogram: np.ndarray, triples: np.ndarray, rounds: int = 80) -> np.ndarray:

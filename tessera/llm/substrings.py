@@ -1,21 +1,22 @@
 """Removal of repeated substrings by longest-previous-factor arrays.
 
 A byte goes if a string of ``length`` bytes that covers it starts earlier in
-the corpus as well. Each window of that many bytes belongs to the smallest
-hashed k-gram in it, so equal windows share a key wherever they stand; the
-consecutive windows of one key are a run. Three steps, each linear in the
-text:
-
-1. Runs are hashed as they are read. A run that equals an earlier one is
-   removed whole: copies, however many, end here, first within a task and then
-   between tasks.
+the corpus as well, that is, if the longest previous factor of a position at
+most ``length`` - 1 bytes before it is that long. Each window of that many
+bytes belongs to the smallest hashed k-gram in it, so equal windows share a
+key wherever they stand; the consecutive windows of one key are a run. Three
+steps, each linear in the text:
+
+1. Runs are read with a hash of their bytes. Runs that are equal as a whole
+   are one factor: all but the earliest go at once, first within a task and
+   then between tasks, so copies, however many, end here.
 2. Of the runs that are left, those whose key has several different runs may
    share single windows. Only their bytes travel, dealt by key. There the
-   windows are put in suffix order (by their first ``length`` bytes, ties by
-   place). A window's previous smaller position is then its predecessor, so
-   its longest previous factor reaches ``length`` where both agree that far.
-   The runs of a key with very many go on as single windows, dealt by their
-   own hash, so that no task depends on the size of one group.
+   windows are put in suffix order, with the lengths that neighbours have in
+   common; the previous and the next smaller place in that order are the only
+   ones whose common length can be a position's longest previous factor. Keys
+   whose runs are many or long go on as single windows, dealt by their own
+   hash, so that no task depends on the size of one group.
 3. Removed intervals are merged per document.
 """
 
@@ -32,10 +33,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, fields, shuffle_parts
 
 LENGTH, GRAM = 100, 16
-#: Runs of one key that are looked at together; beyond, they go on as single windows.
-TOGETHER = 20_000
-#: A run of more bytes goes on as single windows too; and windows compared at a time.
-LONG, COMPARED = 200_000, 300_000
+#: Bytes of one key's different runs that are looked at together; beyond, they go on as single windows.
+TOGETHER = 200_000
+#: Windows in one suffix order; and bytes of text for each part that runs are dealt to.
+COMPARED, PART = 200_000, 8_000_000
 #: Runs gathered by a task before they are handed on.
 GATHERED = 400_000
 _B = 0x9E3779B97F4A7C15
@@ -157,7 +158,7 @@ def _scan(rows: DataFrame, parts: int, length: int) -> DataFrame:
 
 
 def _settle(scanned: DataFrame, length: int) -> DataFrame:
-    """The spans so far; by part of the keys those of runs met earlier in another task, and (with key and width) the runs that need their bytes compared."""
+    """The spans so far; by part of the keys those of runs met earlier in another task, and (with their key and the bytes of all its runs) the runs that need their bytes compared."""
     names = ("key", "whole", "id", "tie", "at", "n", "twice")
     kinds = ("<u8", "<u8", "<i8", "<i8", "<i4", "<i4", "<i1")
 
@@ -187,7 +188,8 @@ def _settle(scanned: DataFrame, length: int) -> DataFrame:
         both = [np.concatenate(x) for x in zip(spans, (own[k], tie[k], start, start + n[k] + length - 1), strict=True)]
         silent = np.concatenate((np.ones(len(spans[0]), bool), ~asks))
         pad = np.zeros(len(spans[0]), np.int64)
-        many = different[group[k]] if len(k) else np.zeros(0, np.int64)
+        size = np.bincount(group, weights=look * (n + length - 1.0), minlength=group[-1] + 1 if len(group) else 0).astype(np.int64)
+        many = size[group[k]] if len(k) else np.zeros(0, np.int64)
         return pa.table(
             {
                 **dict(zip(("id", "tie", "from", "to"), both, strict=True)),
@@ -210,7 +212,7 @@ def _contexts(rows: DataFrame, asked: DataFrame, length: int) -> DataFrame:
             for row in range(batch.num_rows):
                 own, tie, data = (batch.column(k)[row].as_py() for k in range(3))
                 for a, b, key, many in zip(*(batch.column(k)[row].as_py() for k in range(3, 7)), strict=True):
-                    if many <= TOGETHER and b - a <= LONG:
+                    if many <= TOGETHER:
                         pieces = [(key, a, data[a:b])]
                     else:
                         pieces = [(int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True), s, w) for s in range(a, b - length + 1) for w in [data[s : s + length]]]
@@ -225,6 +227,38 @@ def _contexts(rows: DataFrame, asked: DataFrame, length: int) -> DataFrame:
     return met.mapInArrow(run, "key long, id long, tie long, from long, data binary")
 
 
+def longest_previous_factors(windows: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For each row of ``windows`` (bytes), how many of its first bytes also start at a smaller place.
+
+    Rows are put in suffix order. Of the rows at smaller places, the nearest
+    one on either side has most in common: the least common length between
+    neighbours up to there.
+    """
+    n, length = windows.shape
+    suffix = np.argsort(np.ascontiguousarray(windows).view(f"S{length}").ravel(), kind="stable")
+    ordered, at = windows[suffix], place[suffix]
+    apart = ordered[1:] != ordered[:-1]
+    common = np.where(apart.any(1), apart.argmax(1), length)
+    best = np.zeros(n, np.int64)
+    for sign in (-1, 1):
+        # Where the search of each row stands, and the least common length on the way; -1: past the end.
+        near = np.arange(n) + sign
+        near[(near < 0) | (near >= n)] = -1
+        least = np.concatenate(([0], common)) if sign < 0 else np.append(common, 0)
+        going = np.flatnonzero(near >= 0)
+        while len(going):
+            # A row passed by lies at a larger place, so what it has passed lies at larger ones too.
+            going = going[at[near[going]] >= at[going]]
+            least[going] = np.minimum(least[going], least[near[going]])
+            near[going] = near[near[going]]
+            least[going[near[going] < 0]] = 0
+            going = going[(near[going] >= 0) & (least[going] > best[going])]
+        best = np.maximum(best, least)
+    out = np.empty(n, np.int64)
+    out[suffix] = best
+    return out
+
+
 def later_windows(texts: list[bytes], ids: np.ndarray, ties: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, first window, windows) of the windows whose longest previous factor, by (id, tie, place), reaches length."""
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -232,22 +266,15 @@ def later_windows(texts: list[bytes], ids: np.ndarray, ties: np.ndarray, starts:
     text = np.repeat(np.arange(len(texts)), windows)
     inner = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
     flat = np.frombuffer(b"".join(texts), np.uint8)
-    place = np.repeat(np.cumsum(sizes) - sizes, windows) + inner
-    at = starts[text] + inner
-    by_place = np.lexsort((at, ties[text], ids[text]))
-    text, inner, place, at = text[by_place], inner[by_place], place[by_place], at[by_place]
-    strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(flat, length)[place]).view(f"S{length}").ravel()
-    suffix = np.argsort(strings, kind="stable")
-    ordered = strings[suffix]
-    same = np.concatenate(([False], ordered[1:] == ordered[:-1]))
-    block = np.cumsum(~same)
-    # Of a block of equal windows the first place stays, however often it was read.
-    lead = np.flatnonzero(~same)
-    head = suffix[lead[block - 1]]
-    itself = (ids[text[suffix]] == ids[text[head]]) & (ties[text[suffix]] == ties[text[head]]) & (at[suffix] == at[head])
-    gone = suffix[same & ~itself]
-    order = np.lexsort((inner[gone], text[gone]))
-    t, w = text[gone][order], inner[gone][order]
+    # Runs of one document have no window in common, so windows follow their runs; a row read twice has one place.
+    order = np.lexsort((starts, ties, ids))
+    new = np.concatenate(([True], (ids[order][1:] != ids[order][:-1]) | (ties[order][1:] != ties[order][:-1]) | (starts[order][1:] != starts[order][:-1])))
+    rank = np.empty(len(texts), np.int64)
+    rank[order] = np.cumsum(new)
+    strings = np.lib.stride_tricks.sliding_window_view(flat, length)[np.repeat(np.cumsum(sizes) - sizes, windows) + inner]
+    factors = longest_previous_factors(strings, (rank[text] << 32) + inner)
+    gone = np.flatnonzero(factors >= length)
+    t, w = text[gone], inner[gone]
     new = np.concatenate(([True], (t[1:] != t[:-1]) | (w[1:] != w[:-1] + 1))) if len(t) else np.zeros(0, bool)
     k = np.flatnonzero(new)
     return t[k], w[k], np.diff(np.append(k, len(t)))
@@ -285,12 +312,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Null ids come first. A null text is empty. Texts of fewer than ``length``
     bytes keep all. Different texts of one id are different documents, ordered
     by a hash; rows that repeat id and text are one document, and get the same
-    result each. An empty table gives no rows. Other columns are ignored. Runs
-    count as equal when their key and a second 64-bit hash are.
+    result each. A text is held whole, with some 60 bytes of work space for each
+    of its bytes. An empty table gives no rows. Other columns are ignored. Runs
+    count as equal as a whole when their key and a second 64-bit hash are.
     """
     spark = docs.sparkSession
     rows = _ids(docs, doc_id, text)
-    parts = 4 * shuffle_parts(spark)
+    read = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    parts = max(4 * shuffle_parts(spark), -(-read // PART))
     settled = cut(_settle(_scan(rows, parts, length), length))
     asked = settled.where("key IS NOT NULL")
     contexts = cut(_contexts(rows, asked, length))

@@ -177,9 +177,10 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS) -> Model
 
     def embed(words: np.ndarray) -> np.ndarray:
         out = np.zeros((len(words), project.shape[1]))
-        for k in range(0, len(words), 2_000):
-            features, weights = occurrences([vocabulary[w] for w in words[k : k + 2_000]])
-            out[k : k + 2_000] = np.einsum("ijk,ij->ik", project[features], weights, optimize=True)
+        # A block of project[features] is some 20 MB.
+        for k in range(0, len(words), 100):
+            features, weights = occurrences([vocabulary[w] for w in words[k : k + 100]])
+            out[k : k + 100] = np.einsum("ijk,ij->ik", project[features], weights, optimize=True)
         return out
 
     score = lean.copy()
@@ -249,6 +250,21 @@ def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
     return fields(docs, doc_id=doc_id, text=text).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, that score below the threshold; rows are judged where they are read, with no shuffle. Nulls and empty tables as in score_toxicity."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                score = shared.value.probability(scorer.best([t or "" for t in part.column(at).to_pylist()]))
+                yield part.filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_string_kernel_svm(spark, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score_toxicity(docs, train(docs, labels))

@@ -15,46 +15,45 @@ from tessera.llm.common import cut
 from tessera.llm.mixing import mix_sources
 from tessera.llm.ngrams import ngram_join
 from tessera.llm.packing import pack_documents
-from tessera.llm.pii import find_personal_data
+from tessera.llm.pii import redact
 from tessera.llm.pii import train as train_field
-from tessera.llm.toxicity import score_toxicity
+from tessera.llm.toxicity import keep_clean
 from tessera.llm.toxicity import train as train_toxicity
 
 #: SQL can express neither the classifier nor the field; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row in place of its id, so that repeated and null ids stay apart; written, so the numbers hold."""
-    return cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """docs with _key, a hash of the columns: rows of one key are the same in them, and no copy of the texts is written to tell them apart."""
+    return docs.withColumn("_tessera_key", F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the string-kernel classifier, trained on the table ``labels``, rejects go; null and empty texts stay."""
-    model = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = _numbered(docs)
-    bad = score_toxicity(rows, model, doc_id="_row").where("predicted = 1").select(F.col("doc_id").alias("_row"))
-    return rows.join(bad, "_row", "left_anti").select(*docs.columns)
+    return keep_clean(docs, train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of 0.8 similar five-word sets join, the one of the smallest id stays; wordless ones all stay."""
-    rows = _numbered(docs)
-    # Ordered by id (null first), then by row: one number for both.
-    order = rows.select("_row", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("id"), "text")
-    found = cut(ngram_join(order, doc_id="_row"))
-    linked = found.where("linked AND n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id").join(order.select("_row", "id"), "_row")
-    first = linked.groupBy("component_id").agg(F.min(F.struct("id", "_row")).alias("first")).select("component_id", F.col("first._row").alias("keep"))
-    gone = linked.join(first, "component_id").where("_row <> keep").select("_row")
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    """Of documents that links of 0.8 similar five-word sets join, the one of the smallest id stays (null first; of equal ids, one by a hash of the text; of repeated rows, any one); wordless ones all stay."""
+    rows = _keyed(docs, "text")
+    found = ngram_join(rows, doc_id="_tessera_key").where("linked AND n_shingles > 0").select(F.col("doc_id").alias("_tessera_key"), "component_id").distinct()
+    members = rows.select("_tessera_key", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("_tessera_id")).join(found, "_tessera_key")
+    members = cut(members.groupBy("_tessera_key", "_tessera_id", "component_id").agg(F.count(F.lit(1)).alias("n")))
+    first = members.groupBy("component_id").agg(F.min(F.struct("_tessera_id", "_tessera_key")).alias("first")).select(F.col("first._tessera_id").alias("_tessera_id"), F.col("first._tessera_key").alias("_tessera_key"))
+    gone = members.join(first, ["_tessera_id", "_tessera_key"], "left_anti").select("_tessera_id", "_tessera_key")
+    again = members.where("n > 1").join(first, ["_tessera_id", "_tessera_key"], "left_semi").select("_tessera_id", "_tessera_key")
+    rows = rows.withColumn("_tessera_id", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))).join(gone, ["_tessera_id", "_tessera_key"], "left_anti")
+    if again.isEmpty():
+        return rows.select(*docs.columns)
+    once = rows.join(again, ["_tessera_id", "_tessera_key"], "left_semi").dropDuplicates(["_tessera_id", "_tessera_key"])
+    return rows.join(again, ["_tessera_id", "_tessera_key"], "left_anti").unionByName(once).select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each span of personal data becomes its kind in brackets, and n_chars follows; null texts stay null."""
-    rows = _numbered(docs)
-    found = find_personal_data(rows, train_field(docs), doc_id="_row", redact=True)
-    joined = rows.drop("text").join(found.select(F.col("doc_id").alias("_row"), "text"), "_row")
-    return joined.select(*[_length(docs) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    clean = redact(docs, train_field(docs))
+    return clean.select(*[_length(docs) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def _length(docs: DataFrame) -> Column:
@@ -62,11 +61,21 @@ def _length(docs: DataFrame) -> Column:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stand as often as the weighted fair queue takes them, twice at most; documents without words, which no budget buys or excludes, stay once."""
-    rows = _numbered(docs)
-    taken = mix_sources(rows, doc_id="_row").select(F.col("doc_id").alias("_row"), F.when(F.col("size") == 0, 1).otherwise(F.col("epochs")).alias("_times"))
-    joined = rows.join(taken.where("_times > 0"), "_row")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """Documents stand as often as the weighted fair queue takes them, twice at most; documents without words, which no budget buys or excludes, stay once.
+
+    The queue is shuffled by a hash of id, text and source, so the same
+    documents give the same mix however they are stored. Rows that agree in
+    all three share what the queue takes of them.
+    """
+    rows = _keyed(docs, "doc_id", "text", "source")
+    taken = mix_sources(rows, doc_id="_tessera_key").groupBy(F.col("doc_id").alias("_tessera_key")).agg(F.count(F.lit(1)).alias("_tessera_rows"), F.sum(F.when(F.col("size") == 0, 1).otherwise(F.col("epochs"))).alias("_tessera_times"))
+    taken = cut(taken.where("_tessera_times > 0"))
+    even = taken.where("_tessera_times % _tessera_rows = 0").select("_tessera_key", (F.col("_tessera_times") / F.col("_tessera_rows")).cast("int").alias("_tessera_each"))
+    odd = taken.where("_tessera_times % _tessera_rows <> 0").select("_tessera_key", F.col("_tessera_times").cast("int").alias("_tessera_each"))
+    joined = rows.join(even, "_tessera_key")
+    if not odd.isEmpty():
+        joined = joined.unionByName(rows.join(odd, "_tessera_key").dropDuplicates(["_tessera_key"]))
+    return joined.withColumn("_tessera_copy", F.explode(F.sequence(F.lit(1), F.col("_tessera_each")))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ def test_empty_tables(spark):
     for found in (packing.pack_documents(none), ngrams.ngram_join(none), substrings.remove_repeats(none), mixing.mix_sources(none), licenses.scan_licenses(none), fingerprints.fingerprint_documents(none), pii.find_personal_data(none, field), toxicity.score_toxicity(none, model)):
         assert found.count() == 0
     assert knn.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
-    assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
 def test_packing(docs):
@@ -213,7 +213,19 @@ def test_licenses(docs):
 
 def test_urls(spark):
     rows = [(1, "http://A.Example.NET/en/x?q#f"), (2, "https://a.net/de/"), (3, "x://example.com/de/"), (4, "no"), (5, None), (6, "http://q.org/fr/"), (7, "http://net"), (8, "http://w.net#x")]
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), html=None).collect()}
     assert got[1] == ("a.example.net", "/en/x", "example.net/en/", "allow") and got[2][2:] == ("net/", "block")
     assert got[3][2:] == ("example.com/de/", "block") and got[4][:3] == got[5][:3] == ("", "", None) and got[6][2:] == ("org/fr/", "allow")
     assert got[7][2] is None and got[8][:3] == ("w.net", "", None)
+
+
+def test_host_reputation(spark):
+    """Hosts of one suffix differ by their pages; a host with few pages follows its domain; ports, addresses and two-label suffixes."""
+    junk, proper = "*** %%% " * 10, "a proper page " * 50
+    rows = [(k, f"http://bad.co.uk/{k}", junk) for k in range(40)] + [(100 + k, f"http://good.co.uk:80/{k}", proper) for k in range(40)]
+    rows += [(200, "http://new.bad.co.uk/x", None), (201, "http://new.good.co.uk/x", ""), (202, "http://10.0.0.1/", proper), (203, "http://10.0.0.1/", proper)]
+    pages = spark.createDataFrame([(*r, "h", "r", 1, "s") for r in rows], "page_id long, url string, html string, host string, rule string, junk int, suffix string")
+    got = {r.page_id: r for r in urls.judge_urls(pages).collect()}
+    assert len(got) == len(rows) and all(r.rule is None for r in got.values())
+    assert {r.verdict for k, r in got.items() if k < 40 or k == 200} == {"block"} and {r.verdict for k, r in got.items() if k >= 100 and k != 200} == {"allow"}
+    assert got[200].bad_mean > 0.8 > 0.2 > got[201].bad_mean

@@ -48,6 +48,14 @@ def cut(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return out
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python few rows at a time, so that what a worker and its buffers hold stays small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, rows)
+
+
 def drop(*written: DataFrame) -> None:
     """Remove tables that cut() returned, once all that reads them has been written."""
     for df in written:

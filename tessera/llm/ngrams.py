@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tessera.llm.common import UPPER, cut, drop, fields
+from tessera.llm.common import UPPER, cut, drop, fields, small_batches
 from tessera.llm.components import connected_components
 
 #: Most common n-grams, which come last in the order (a bound on what is broadcast; any choice gives right results), and n-grams counted at a time.
@@ -45,9 +45,12 @@ COMMON, COUNTED, LEAST_COUNT = 400_000, 4_000_000, 3
 TOGETHER = 16
 #: Partners of one set that meet in a task.
 PARTNERS = 256
-CACHE = 500_000
+#: Words and sets that a worker remembers.
+CACHE = 300_000
 #: Fragments of the order: the hashes' first bits, and one for the common n-grams.
 FRAGMENTS = 5
+#: Bits, as a power of two, of the bitmap of ids whose texts are read again: 8 MB.
+MARKS = 26
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _words: dict[bytes, int] = {}
 
@@ -147,8 +150,26 @@ def _prefixes(docs: DataFrame, n: int, common, least: int, of: int) -> DataFrame
     return docs.mapInArrow(run, "set long, size long, prefix array<long>")
 
 
-def _segments(texts: DataFrame, n: int, common) -> DataFrame:
-    """set, size, fragment, grams: the part of a set, empty or not, that lies in each fragment of the order; more than once for a set that several tasks meet."""
+def _marked(ids: DataFrame) -> np.ndarray:
+    """A bitmap of hashed ids, of 2 ** MARKS bits whatever their number."""
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << MARKS)) + 1
+    rows = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    out = np.zeros(1 << (MARKS - 3), np.uint8)
+    # At most 2 ** MARKS / 32,768 rows of 4 KB.
+    for r in rows.toLocalIterator():
+        out[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _segments(texts: DataFrame, wanted: DataFrame, sets: DataFrame, n: int, common) -> DataFrame:
+    """set, size, fragment, grams: the part of each wanted set, empty or not, that lies in each fragment of the order.
+
+    Texts stay where they are read: those whose id is marked make their
+    segments, and only segments travel. A mark may be another id's, and a text
+    may have many copies; what is not wanted goes before the shuffle's reduce
+    side keeps one copy of each.
+    """
+    marks = texts.sparkSession.sparkContext.broadcast(_marked(wanted.join(sets, "set").select(F.col("first").alias("id"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams_, rank = common.value
@@ -156,12 +177,10 @@ def _segments(texts: DataFrame, n: int, common) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for own, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if own in seen:
-                    continue
-                grams = ngram_hashes(text.as_py(), n)
-                # Another text of the same id.
-                if _set_id(grams) != own:
+            place = batch.column(1).to_numpy()
+            for k in np.flatnonzero(marks.value[place >> 3] >> (place & 7) & 1):
+                grams = ngram_hashes(batch.column(0)[k].as_py(), n)
+                if not len(grams) or (own := _set_id(grams)) in seen:
                     continue
                 if len(seen) < CACHE:
                     seen.add(own)
@@ -171,7 +190,9 @@ def _segments(texts: DataFrame, n: int, common) -> DataFrame:
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.int64()))], ["set", "size", "fragment", "grams"])
 
-    return texts.mapInArrow(run, "set long, size long, fragment int, grams array<long>")
+    rows = texts.select("text", F.pmod(F.xxhash64("id"), F.lit(1 << MARKS)).alias("place"))
+    made = rows.mapInArrow(run, "set long, size long, fragment int, grams array<long>").join(wanted, "set", "left_semi")
+    return made.groupBy("set", "fragment").agg(F.first("size").alias("size"), F.first("grams").alias("grams"))
 
 
 def _similar_sizes(least: int, of: int) -> Column:
@@ -201,11 +222,6 @@ def _possible_by_difference(least: int, of: int) -> Column:
     return _similar_sizes(least, of) & ((of + least) * (F.col("da") + F.col("db") - 2 * shared) <= (of - least) * (F.col("na") + F.col("nb")))
 
 
-def _texts_of(wanted: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """set and text of the wanted sets; a set's text may come more than once, and with it other texts of its id."""
-    return wanted.join(sets, "set").select("set", F.col("first").alias("id")).join(texts, "id").select("set", "text")
-
-
 def _met(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """For each pair (a, b), both segments of each fragment: a, b, na, nb, fragment, ga, gb. The segments of a b with many partners are repeated, so that its pairs spread over tasks."""
     mine = segments.select(F.col("set").alias("a"), F.col("size").alias("na"), "fragment", F.col("grams").alias("ga"))
@@ -220,7 +236,6 @@ def _links(pairs: DataFrame, segments: DataFrame, least: int, of: int) -> DataFr
     """The pairs (a, b) whose overlap, summed over the fragments, is large enough."""
     partial = F.size(F.array_intersect("ga", "gb")).cast("long")
     fragments = _met(pairs, segments).select("a", "b", "na", "nb", "fragment", partial.alias("common"))
-    fragments = fragments.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("common").alias("common"))
     summed = fragments.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
     return summed.where(of * F.col("common") >= least * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
@@ -257,8 +272,7 @@ def _differences(stars: DataFrame, segments: DataFrame) -> DataFrame:
     """For each set a and its centre b: na, nb, common, d (the number of differences) and tokens (an n-gram that only a has, or the complement of one that only b has)."""
     own = _met(stars, segments)
     tokens = F.concat(F.array_except("ga", "gb"), F.transform(F.array_except("gb", "ga"), F.bitwise_not))
-    parts = own.select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("ga", "gb")).cast("long").alias("common"), tokens.alias("tokens"))
-    parts = parts.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("common").alias("common"), F.first("tokens").alias("tokens"))
+    parts = own.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("common"), tokens.alias("tokens"))
     found = parts.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"), F.flatten(F.collect_list("tokens")).alias("tokens"))
     return found.withColumn("d", F.size("tokens").cast("long"))
 
@@ -300,6 +314,7 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     the 64-bit hashes of their n-grams are.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     null_id = F.lit(-(1 << 63)).cast("long")
     texts = fields(docs, id=doc_id, text=text).select(F.coalesce("id", null_id).alias("id"), "text")
     scanned = cut(_scan(texts, n))
@@ -321,7 +336,8 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     pairs, stars = (cut(x) for x in _candidates(entries, least, of))
     drop(entries)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).union(stars.select(F.explode(F.array("a", "b")).alias("set"))).distinct()
-    segments = cut(_segments(_texts_of(wanted, sets, texts), n, common))
+    wanted = cut(wanted)
+    segments = cut(_segments(texts, wanted, sets, n, common))
     differences = cut(_differences(stars, segments))
     near = differences.where(of * F.col("common") >= least * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
     found = cut(_links(pairs, segments, least, of).union(near))

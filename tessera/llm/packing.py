@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tessera.llm.common import cut, fields
+from tessera.llm.common import cut, fields, small_batches
 
 CAPACITY, SEPARATOR = 2048, 0
 #: Shares of one length, for ranks: a length that a third of all pieces have is ranked in so many parts.
@@ -220,6 +220,7 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     repeated ids and repeated rows are packed like any other. An empty table
     gives no rows. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     pieces = cut(cut_into_pieces(fields(docs, doc_id=doc_id, text=text), tokenizer or tokenizer_path(), capacity, keep_ids))
     pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
     shares = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fields
+from tessera.llm.common import fields, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS, "secret")
@@ -295,6 +295,7 @@ def find_personal_data(docs: DataFrame, field: Field, doc_id: str = "doc_id", te
     Null ids and repeated rows are treated like any other. An empty table gives
     no rows. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -317,6 +318,7 @@ def find_personal_data(docs: DataFrame, field: Field, doc_id: str = "doc_id", te
 
 def redact(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
     """docs, all columns, with the kind in brackets in place of each span, as find_personal_data does it; rows are changed where they are read, with no shuffle."""
+    small_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(field), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

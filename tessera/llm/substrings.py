@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, fields, shuffle_parts
+from tessera.llm.common import cut, fields, shuffle_parts, small_batches
 
 LENGTH, GRAM = 100, 16
 #: Bytes of one key's different runs that are looked at together; beyond, they go on as single windows.
@@ -317,6 +317,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     count as equal as a whole when their key and a second 64-bit hash are.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = _ids(docs, doc_id, text)
     read = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     parts = max(4 * shuffle_parts(spark), -(-read // PART))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fields
+from tessera.llm.common import fields, small_batches
 
 DECAY, SPAN, WIDTH = 0.85, 5, 1 << 15
 #: Characters of a word looked at together; longer words are scored in overlapping parts.
@@ -237,6 +237,7 @@ def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
     Null and empty texts score lowest. Null ids and repeated rows are scored
     like any other. An empty table gives no rows. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,6 +253,7 @@ def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, that score below the threshold; rows are judged where they are read, with no shuffle. Nulls and empty tables as in score_toxicity."""
+    small_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut
-from tessera.llm.mixing import mix_sources
+from tessera.llm.mixing import repeat_by_mix
 from tessera.llm.ngrams import ngram_join
 from tessera.llm.packing import pack_documents
 from tessera.llm.pii import redact
@@ -65,17 +65,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The queue is shuffled by a hash of id, text and source, so the same
     documents give the same mix however they are stored. Rows that agree in
-    all three share what the queue takes of them.
+    all three are taken together.
     """
-    rows = _keyed(docs, "doc_id", "text", "source")
-    taken = mix_sources(rows, doc_id="_tessera_key").groupBy(F.col("doc_id").alias("_tessera_key")).agg(F.count(F.lit(1)).alias("_tessera_rows"), F.sum(F.when(F.col("size") == 0, 1).otherwise(F.col("epochs"))).alias("_tessera_times"))
-    taken = cut(taken.where("_tessera_times > 0"))
-    even = taken.where("_tessera_times % _tessera_rows = 0").select("_tessera_key", (F.col("_tessera_times") / F.col("_tessera_rows")).cast("int").alias("_tessera_each"))
-    odd = taken.where("_tessera_times % _tessera_rows <> 0").select("_tessera_key", F.col("_tessera_times").cast("int").alias("_tessera_each"))
-    joined = rows.join(even, "_tessera_key")
-    if not odd.isEmpty():
-        joined = joined.unionByName(rows.join(odd, "_tessera_key").dropDuplicates(["_tessera_key"]))
-    return joined.withColumn("_tessera_copy", F.explode(F.sequence(F.lit(1), F.col("_tessera_each")))).select(*docs.columns)
+    return repeat_by_mix(_keyed(docs, "doc_id", "text", "source"), doc_id="_tessera_key").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,11 +56,9 @@ class WordEncoder:
         #: Whether a character's normal form ends in a letter.
         self.letters: dict[str, bool] = {}
 
-    def _ends_in_letter(self, word: str) -> bool:
-        c = word[-1]
-        if c not in self.letters:
-            normal = self.tokenizer.normalizer.normalize_str(c) if self.tokenizer.normalizer else c
-            self.letters[c] = c.isalpha() and normal[-1:].isalpha()
+    def _is_letter(self, c: str) -> bool:
+        normal = self.tokenizer.normalizer.normalize_str(c) if self.tokenizer.normalizer else c
+        self.letters[c] = c.isalpha() and normal[-1:].isalpha()
         return self.letters[c]
 
     @classmethod
@@ -81,12 +79,16 @@ class WordEncoder:
         fresh = dict.fromkeys(words[k] for k in missing)
         # A letter and a mark after it are never one token's, so a word's end marks are encoded apart.
         split: dict[str, tuple[str, str]] = {}
+        letters = self.letters
         for w in fresh:
             if (known := self.older.get(w)) is not None:
                 fresh[w] = known
             else:
                 core = w.rstrip(MARKS)
-                split[w] = (core, w[len(core) :]) if core and self._ends_in_letter(core) else (w, "")
+                if not core or (letters[core[-1]] if core[-1] in letters else self._is_letter(core[-1])):
+                    split[w] = (core, w[len(core) :])
+                else:
+                    split[w] = (w, "")
         own = {x: self.cache.get(x) or self.older.get(x) for pair in split.values() for x in pair}
         new = [x for x, known in own.items() if x and known is None]
         own.update(zip(new, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)], strict=True))
@@ -96,8 +98,10 @@ class WordEncoder:
             ids[k] = fresh[words[k]]
         if len(self.cache) + 2 * len(fresh) > CACHE:
             self.cache, self.older = {"": b""}, self.cache
-        for known in (own, fresh):
-            self.cache.update((w, x) for w, x in known.items() if len(w) <= CACHED_LENGTH)
+        if max(map(len, fresh)) > CACHED_LENGTH:
+            own, fresh = ({w: x for w, x in known.items() if len(w) <= CACHED_LENGTH} for known in (own, fresh))
+        self.cache.update(own)
+        self.cache.update(fresh)
         return b"".join(ids)
 
 

@@ -15,8 +15,8 @@ steps, each linear in the text:
    windows are put in suffix order, with the lengths that neighbours have in
    common; the previous and the next smaller place in that order are the only
    ones whose common length can be a position's longest previous factor. Keys
-   whose runs are many or long go on as single windows, dealt by their own
-   hash, so that no task depends on the size of one group.
+   whose runs are many or long go on as 128-bit digests of single windows,
+   dealt by the digest, so that no task depends on the size of one group.
 3. Removed intervals are merged per document.
 """
 
@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, fields, shuffle_parts, small_batches
 
 LENGTH, GRAM = 100, 16
-#: Bytes of one key's different runs that are looked at together; beyond, they go on as single windows.
-TOGETHER = 200_000
+#: Bytes of one key's different runs that are looked at together; beyond, they go on as digests of single windows.
+TOGETHER = 1_000_000
+DIGEST = 16
 #: Windows in one suffix order; and bytes of text for each part that runs are dealt to.
 COMPARED, PART = 200_000, 8_000_000
 #: Runs gathered by a task before they are handed on.
@@ -202,7 +203,7 @@ def _settle(scanned: DataFrame, length: int) -> DataFrame:
 
 
 def _contexts(rows: DataFrame, asked: DataFrame, length: int) -> DataFrame:
-    """The bytes of the runs to be compared: key, id, tie, from, data; of keys with very many, of each window on its own."""
+    """The bytes of the runs to be compared: key, id, tie, from, data; of keys with very many, the digest of each window."""
     wanted = asked.groupBy("id", "tie").agg(F.collect_list(F.struct("from", "to", "key", "many")).alias("runs"))
     met = rows.dropDuplicates(["id", "tie"]).join(wanted, ["id", "tie"]).select("id", "tie", "data", F.col("runs.from"), F.col("runs.to"), F.col("runs.key"), F.col("runs.many"))
 
@@ -215,11 +216,12 @@ def _contexts(rows: DataFrame, asked: DataFrame, length: int) -> DataFrame:
                     if many <= TOGETHER:
                         pieces = [(key, a, data[a:b])]
                     else:
-                        pieces = [(int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True), s, w) for s in range(a, b - length + 1) for w in [data[s : s + length]]]
+                        digests = [hashlib.blake2b(data[s : s + length], digest_size=DIGEST).digest() for s in range(a, b - length + 1)]
+                        pieces = [(int.from_bytes(d[:8], "little", signed=True), a + k, d) for k, d in enumerate(digests)]
                     for k, s, piece in pieces:
                         for column, value in zip(out, (k, own, tie, s, piece), strict=True):
                             column.append(value)
-                if len(out[0]) > 20_000:
+                if sum(map(len, out[4])) > 8_000_000 or len(out[0]) > 50_000:
                     yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], ["key", "id", "tie", "from", "data"])
                     out = [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], ["key", "id", "tie", "from", "data"])
@@ -282,23 +284,27 @@ def later_windows(texts: list[bytes], ids: np.ndarray, ties: np.ndarray, starts:
 
 def _compare(contexts: DataFrame, parts: int, length: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
-        ids, ties, starts = (table.column(c).to_numpy() for c in ("id", "tie", "from"))
-        key = table.column("key").to_numpy()
-        order = np.argsort(key, kind="stable")
+        ids, ties, starts, key = (table.column(c).to_numpy() for c in ("id", "tie", "from", "key"))
         data = table.column("data").to_pylist()
+        sizes = np.array([len(x) for x in data], np.int64)
         found: list[list[np.ndarray]] = [[], [], [], []]
-        edges = np.concatenate(([0], np.flatnonzero(np.diff(key[order])) + 1, [len(order)]))
-        windows = np.concatenate(([0], np.cumsum([len(data[r]) - length + 1 for r in order])))
-        # Keys are compared together, so many at a time that the windows fit; a window's bytes settle what is equal.
-        first = 0
-        for e in range(1, len(edges)):
-            if windows[edges[e]] - windows[edges[first]] >= COMPARED or e == len(edges) - 1:
-                rows = order[edges[first] : edges[e]]
-                first = e
-                text, window, n = later_windows([data[r] for r in rows], ids[rows], ties[rows], starts[rows], length)
-                own = rows[text]
-                for column, value in zip(found, (ids[own], ties[own], starts[own] + window, starts[own] + window + n + length - 1), strict=True):
-                    column.append(value)
+        # A digest stands for one window; runs are longer.
+        for own_length, rows in ((DIGEST, np.flatnonzero(sizes == DIGEST)), (length, np.flatnonzero(sizes != DIGEST))):
+            rows = rows[np.argsort(key[rows], kind="stable")]
+            edges = np.concatenate(([0], np.flatnonzero(np.diff(key[rows])) + 1, [len(rows)]))
+            windows = np.concatenate(([0], np.cumsum(sizes[rows] - own_length + 1)))
+            # Keys are compared together, so many at a time that the windows fit; a window's bytes settle what is equal.
+            first = 0
+            for e in range(1, len(edges)):
+                if windows[edges[e]] - windows[edges[first]] >= COMPARED or e == len(edges) - 1:
+                    some = rows[edges[first] : edges[e]]
+                    first = e
+                    if not len(some):
+                        continue
+                    text, window, n = later_windows([data[r] for r in some], ids[some], ties[some], starts[some], own_length)
+                    own = some[text]
+                    for column, value in zip(found, (ids[own], ties[own], starts[own] + window, starts[own] + window + n + length - 1), strict=True):
+                        column.append(value)
         return pa.table({name: np.concatenate(c) if c else np.zeros(0, np.int64) for name, c in zip(("id", "tie", "from", "to"), found, strict=True)})
 
     dealt = contexts.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.similarity import name_similarities
+from tessera.functions.similarity import address_similarities, name_similarities
 from tessera.functions.normalize import domain_stem, extended_views
-from tessera.functions.wordlists import ADDRESS_STOPWORDS, LEGAL_SUFFIXES, MISSING, MODIFIERS, NAME_STOPWORDS
+from tessera.functions.wordlists import ADDRESS_ABBREVIATIONS, ADDRESS_STOPWORDS, FEATURES, LEGAL_SUFFIXES, MISSING, MODIFIERS, NAME_STOPWORDS, STREET_STOPWORDS
 from tessera.operators import blocking, decide, evaluate, filters, pairs, profile
 from tessera.operators.features import catalyst_features, pair_features, with_records
 from tessera.operators.models import demo_probability
@@ -92,6 +92,56 @@ def features_all(spark, sf_dir):
     return pair_features(_met(spark, sf_dir))
 
 
+def string_ratios(spark, sf_dir):
+    """Plain, sorted-token and token-set ratios of names and addresses."""
+    c = F.col
+    df = _met(spark, sf_dir).withColumn("n", name_similarities("a_name_no_suf", "b_name_no_suf")).withColumn("a", address_similarities(c("a_addr_basic"), c("b_addr_basic")))
+    return df.select("s1_id", "target_id", *[F.round(f"{x}.{k}", 9).alias(f"{y}_{k}") for x, y in (("n", "name"), ("a", "addr")) for k in ("ratio", "sort", "set")])
+
+
+def unknown_ids(spark, sf_dir):
+    """Features of pairs with a record that is not known: all 0."""
+    sources, targets, found = _pairs(spark, sf_dir)
+    met = with_records(found, sources, targets.where(F.col("seq") % 3 != 0), keep_unknown=True).where("b_name_basic IS NULL")
+    return pair_features(met).select("s1_id", "target_id", (sum(F.abs(f) for f in FEATURES)).alias("total"))
+
+
+def street_filter(spark, sf_dir):
+    return _met(spark, sf_dir).select("s1_id", "target_id", filters.streets_agree(F.col("a_original_address"), F.col("b_original_address")).alias("streets_ok"))
+
+
+def average_candidates(spark, sf_dir):
+    return evaluate.average_candidates(_spine(spark, sf_dir), _pairs(spark, sf_dir)[2])
+
+
+def run_totals(spark, sf_dir):
+    scored = _scored(spark, sf_dir)
+    out = evaluate.run_totals(_spine(spark, sf_dir), scored, decide.matches(scored, 0.6), decide.compact(scored, 3, 0.6))
+    return out.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+def checked_thresholds(spark, sf_dir):
+    """The first candidates of each entity at the fixed thresholds."""
+    out = evaluate.threshold_grid(_spine(spark, sf_dir), adapters.truth(spark, sf_dir), pairs.first_candidates(_scored(spark, sf_dir), 5), evaluate.CHECKED_THRESHOLDS)
+    return out.select("threshold", *[F.round(c, 9).alias(c) for c in ("macro_f05", "macro_precision", "macro_recall", "singleton_accuracy")], "num_pred_matches")
+
+
+def reachable_recall(spark, sf_dir):
+    """Recall of the true pairs whose target is in a pool of every other target."""
+    _, targets, found = _pairs(spark, sf_dir)
+    return evaluate.blocking_recall(adapters.truth(spark, sf_dir), found, targets.where("seq % 2 = 0"))
+
+
+def seeded_negatives(spark, sf_dir):
+    _, targets, found = _pairs(spark, sf_dir)
+    return pairs.training_pairs(found, adapters.truth(spark, sf_dir), targets, 2, seed=42)
+
+
+def sampled_pool(spark, sf_dir):
+    targets = adapters.records(spark, sf_dir).where("source > 1")
+    return pairs.reduced_pool(targets, adapters.truth(spark, sf_dir).selectExpr("target_id entity_id"), 50).select("entity_id")
+
+
 def jaro_winkler_names(spark, sf_dir):
     return _met(spark, sf_dir).select("s1_id", "target_id", F.round(name_similarities("a_name_no_suf", "b_name_no_suf")["jw"], 6).alias("jw"))
 
@@ -196,7 +246,9 @@ def semi_target_filter(spark, sf_dir):
 
 
 def anti_split(spark, sf_dir):
+    """Customers without an order whose key is divisible by four."""
     orders, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
+    orders = orders.where("o_orderkey % 4 = 0")
     return customer.join(orders, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
@@ -204,6 +256,7 @@ ALL = (
     norm_names, norm_addresses, norm_extended, url_domain_stem, blocking_keys, postings_guarded, block_priority_cap, candidate_lists, tfidf_topk, block_with_tfidf, features_catalyst, features_all,
     jaro_winkler_names, pair_filters, pair_compatible, pair_valid, threshold_decision, top_per_source, margin_to_best, compact_budget, match_lists, label_pairs, training_pairs, hard_negatives,
     systematic_pool, entity_split, macro_f05, blocking_recall, threshold_grid, error_pairs, match_histogram, match_kinds, country_histogram, missing_profile, semi_target_filter, anti_split,
+    string_ratios, unknown_ids, street_filter, average_candidates, run_totals, checked_thresholds, reachable_recall, seeded_negatives, sampled_pool,
 )
 
 
@@ -311,9 +364,53 @@ def _features_sql() -> str:
     return ", ".join(f"{v} AS {k}" for k, v in columns.items())
 
 
+def _extended_sql() -> str:
+    address = "addr_basic"
+    for word, short in ADDRESS_ABBREVIATIONS:
+        address = f"regexp_replace({address}, '\\b{word}\\b', '{short}', 'g')"
+    return rf""", ex AS (SELECT *, trim(regexp_replace({address}, '\s+', ' ', 'g')) AS short_address, regexp_extract(original_address, '\b[0-9]{{6}}\b') AS six, regexp_extract(original_address, '\b[0-9]{{5}}\b') AS five FROM norm)
+SELECT entity_id, name_basic, name_no_suf, name_alnum, name_sorted, name_no_suf_sorted, name_abbr, short_address AS addr_basic, CASE WHEN six <> '' THEN six ELSE five END AS postal_code, addr_digits, house_num FROM ex"""
+
+
+_EXTENDED = _extended_sql()
+
+
+def _string_pairs() -> str:
+    """sp: the candidate pairs with sorted tokens and token sets of names (n) and addresses (d); lcs: longest common subsequences, bit-parallel, of all string pairs that the ratios compare."""
+    parts = []
+    for p, view, tokens in (("n", "name_no_suf", "nt"), ("d", "addr_basic", "adt")):
+        x, y = f"list_distinct(a.{tokens})", f"list_distinct(b.{tokens})"
+        joined = lambda e: f"array_to_string(list_sort({e}), ' ')"
+        both, mine, theirs = joined(f"list_intersect({x}, {y})"), joined(f"list_filter({x}, lambda t: NOT list_contains({y}, t))"), joined(f"list_filter({y}, lambda t: NOT list_contains({x}, t))")
+        parts.append(f"a.{view} AS {p}_a, b.{view} AS {p}_b, {joined('a.' + tokens)} AS {p}_sa, {joined('b.' + tokens)} AS {p}_sb, {both} AS {p}_c, {mine} AS {p}_x, {theirs} AS {p}_y, trim({both} || ' ' || {mine}) AS {p}_ta, trim({both} || ' ' || {theirs}) AS {p}_tb")
+    compared = " UNION ".join(f"SELECT {p}_{x} AS a, {p}_{y} AS b FROM sp" for p in "nd" for x, y in (("a", "b"), ("sa", "sb"), ("ta", "tb"), ("c", "ta"), ("c", "tb")))
+    full = "((1::HUGEINT << length(a)::INTEGER) - 1)"
+    return f""", sp AS (SELECT *, {", ".join(parts)} FROM pr
+), lc AS (
+  SELECT DISTINCT a, b, 0 AS i, {full} AS s FROM ({compared}) WHERE a <> '' AND b <> ''
+  UNION ALL
+  SELECT a, b, i + 1, ((s + (s & m)) | (s - (s & m))) & {full}
+  FROM (SELECT *, list_sum(list_transform(range(length(a)), lambda k: CASE WHEN substring(a, k + 1, 1) = substring(b, i + 1, 1) THEN 1::HUGEINT << k::INTEGER ELSE 0::HUGEINT END))::HUGEINT AS m FROM lc WHERE i < length(b))
+), lcs AS (SELECT a, b, 2.0::DOUBLE * (length(a) - bit_count(s)) / (length(a) + length(b)) AS r FROM lc WHERE i = length(b))"""
+
+
+def _ratio(kind: str, p: str) -> str:
+    look = lambda x, y: f"coalesce((SELECT max(r) FROM lcs WHERE lcs.a = {p}_{x} AND lcs.b = {p}_{y}), 0.0)"
+    own = {
+        "ratio": look("a", "b"),
+        "sort": look("sa", "sb"),
+        "set": f"CASE WHEN {p}_c <> '' AND ({p}_x = '' OR {p}_y = '') THEN 1.0 ELSE greatest({look('ta', 'tb')}, {look('c', 'ta')}, {look('c', 'tb')}) END",
+    }[kind]
+    return f"(CASE WHEN {p}_a = '' OR {p}_b = '' THEN 0.0 WHEN {p}_a = {p}_b THEN 1.0 ELSE {own} END)"
+
+
 def oracle_sql() -> dict[str, str]:
     cand = _REC + _KEYS + _CAND
     scored = cand + _SCORED
+    digits = "regexp_replace({0}.house_num, '[^0-9]', '', 'g')"
+    numbers = f"(a.house_num = '' OR b.house_num = '' OR a.house_num = b.house_num OR ({digits.format('a')} <> '' AND {digits.format('a')} = {digits.format('b')}) OR (abs(length(a.house_num) - length(b.house_num)) = 1 AND (starts_with(a.house_num, b.house_num) OR starts_with(b.house_num, a.house_num))))"
+    street = "list_filter(regexp_extract_all(lower({0}.original_address), '[a-z]{{4,}}'), lambda t: t NOT IN " + _in(STREET_STOPWORDS) + ")"
+    streets = f"(len({street.format('a')}) = 0 OR len({street.format('b')}) = 0 OR list_has_any({street.format('a')}, {street.format('b')}))"
     mods = "list_sort(list_distinct(list_filter(regexp_extract_all(lower({0}.original_name), '[a-z]+'), lambda t: t IN " + _in(MODIFIERS) + ")))"
     gram = """, wd AS (SELECT entity_id, seq, source, ' ' || unnest(nt) || ' ' AS p FROM norm
 ), gs AS (SELECT entity_id, seq, source, unnest(list_transform(range(1, greatest(length(p) - 2, 1) + 1), lambda i: substring(p, i, 3))) AS g FROM wd
@@ -347,11 +444,29 @@ def oracle_sql() -> dict[str, str]:
         "macro_f05": scored + ", ths AS (SELECT 0.6::DOUBLE AS threshold)" + _ENT + f" SELECT {_ROUNDED}, round(coalesce(count(*) FILTER (WHERE gt = 0 AND pred = 0) / nullif(count(*) FILTER (WHERE gt = 0), 0), 1.0), 9)::DOUBLE AS singleton_accuracy, count(*) AS num_entities, sum(gt)::BIGINT AS num_gt_matches, sum(pred)::BIGINT AS num_pred_matches, count(*) FILTER (WHERE gt = 0) AS num_singletons, count(*) FILTER (WHERE gt = 0 AND pred = 0) AS singleton_correct FROM ms",
         "blocking_recall": cand + " SELECT count(*) AS num_true, count(c.rank) AS num_found, coalesce(count(c.rank) / nullif(count(*), 0), 1.0)::DOUBLE AS recall FROM truth LEFT JOIN cand c USING (s1_id, target_id)",
         "threshold_grid": scored + ", ths AS (SELECT round(0.5 + 0.02 * k, 2)::DOUBLE AS threshold FROM range(24) t(k))" + _ENT + f" SELECT threshold, {_ROUNDED}, sum(pred)::BIGINT AS num_pred_matches FROM ms GROUP BY threshold",
-        "error_pairs": scored + ", er AS (SELECT 'false positive' AS kind, s1_id, target_id FROM (SELECT * FROM scored WHERE prob >= 0.6) ANTI JOIN truth USING (s1_id, target_id) UNION ALL SELECT 'false negative', s1_id, target_id FROM truth ANTI JOIN (SELECT * FROM scored WHERE prob >= 0.6) USING (s1_id, target_id)) SELECT kind, s1_id, target_id FROM (SELECT *, dense_rank() OVER (PARTITION BY kind ORDER BY s1_id) AS k FROM er) WHERE k <= 5",
+        "error_pairs": scored + ", er AS (SELECT 'false positive' AS kind, s1_id, target_id FROM (SELECT * FROM scored WHERE prob >= 0.6) ANTI JOIN truth USING (s1_id, target_id) UNION ALL SELECT 'false negative', s1_id, target_id FROM truth ANTI JOIN (SELECT * FROM scored WHERE prob >= 0.6) USING (s1_id, target_id)) SELECT kind, s1_id, target_id FROM er JOIN (SELECT kind, s1_id, coalesce(sum(n) OVER (PARTITION BY kind ORDER BY s1_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT kind, s1_id, count(*) AS n FROM er GROUP BY 1, 2)) USING (kind, s1_id) WHERE before < 5",
         "match_histogram": cand + ", h AS (SELECT s.s1_id, count(t.target_id) AS matches FROM spine s LEFT JOIN truth t USING (s1_id) GROUP BY 1) SELECT matches, count(*) AS entities, 100.0::DOUBLE * count(*) / sum(count(*)) OVER () AS pct FROM h GROUP BY matches",
         "match_kinds": cand + ", h AS (SELECT s.s1_id, count(t.target_id) AS n FROM spine s LEFT JOIN truth t USING (s1_id) GROUP BY 1) SELECT count(*) FILTER (WHERE n = 0) AS singletons, count(*) FILTER (WHERE n = 1) AS single, count(*) FILTER (WHERE n > 1) AS multi, (SELECT count(*) FROM truth WHERE starts_with(target_id, 'S2-')) AS s2_matches, (SELECT count(*) FROM truth WHERE starts_with(target_id, 'S3-')) AS s3_matches FROM h",
         "country_histogram": "SELECT lang AS country, count(*) AS n FROM documents GROUP BY lang",
         "missing_profile": "SELECT count(*) AS rows, c AS \"column\", count(*) FILTER (WHERE v IS NULL OR v IN " + _in(MISSING) + ") AS missing, 100.0::DOUBLE * count(*) FILTER (WHERE v IS NULL OR v IN " + _in(MISSING) + ") / count(*) AS pct FROM (SELECT 'lang' AS c, lang AS v FROM documents UNION ALL SELECT 'source', source FROM documents UNION ALL SELECT 'text', text FROM documents) GROUP BY c",
         "semi_target_filter": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
-        "anti_split": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+        "anti_split": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 4 = 0)",
+        "norm_extended": _REC + _EXTENDED,
+        "string_ratios": cand + _string_pairs() + " SELECT s1_id, target_id, " + ", ".join(f"round({_ratio(k, p)}, 9)::DOUBLE AS {y}_{k}" for p, y in (("n", "name"), ("d", "addr")) for k in ("ratio", "sort", "set")) + " FROM sp",
+        "pair_compatible": cand + _string_pairs() + f" SELECT s1_id, target_id FROM sp WHERE (a.country = '' OR b.country = '' OR a.country = b.country) AND {mods.format('a')} = {mods.format('b')} AND {numbers} AND NOT (a.addr_basic <> '' AND b.addr_basic <> '' AND {_ratio('sort', 'd')} < 0.25 AND {_ratio('set', 'd')} < 0.35)",
+        "pair_valid": cand + f" SELECT s1_id, target_id FROM pr WHERE {mods.format('a')} = {mods.format('b')} AND {numbers} AND {streets}",
+        "street_filter": cand + f" SELECT s1_id, target_id, {streets} AS streets_ok FROM pr",
+        "unknown_ids": cand + " SELECT s1_id, target_id, 0.0::DOUBLE AS total FROM pr WHERE b.seq % 3 = 0",
+        "block_with_tfidf": cand + gram + """, late AS (SELECT s1_id, entity_id AS target_id, (19, k::INTEGER, 0, seq) AS f FROM (SELECT s1_id, target_id AS entity_id, seq, row_number() OVER (PARTITION BY s1_id ORDER BY cosine DESC, seq) AS k FROM cs) WHERE k <= 5
+), joint AS (SELECT s1_id, target_id, min(f) AS f FROM (SELECT s1_id, target_id, f FROM met UNION ALL SELECT s1_id, target_id, f FROM late) GROUP BY 1, 2)
+SELECT s1_id, target_id, rank FROM (SELECT s1_id, target_id, (row_number() OVER (PARTITION BY s1_id ORDER BY f))::INTEGER AS rank FROM joint) WHERE rank <= 8""",
+        "entity_split": _REC + " SELECT entity_id, CASE WHEN k <= least(20000, greatest(1, floor(n * 0.2::DOUBLE))) THEN 'validation' ELSE 'training' END AS part FROM (SELECT entity_id, row_number() OVER (ORDER BY md5('42:' || entity_id), entity_id) AS k, count(*) OVER () AS n FROM rec WHERE source = 1)",
+        "average_candidates": cand + " SELECT count(*) AS num_entities, sum(n)::BIGINT AS num_pairs, avg(n) AS avg_candidates FROM (SELECT s.s1_id, count(c.target_id) AS n FROM spine s LEFT JOIN cand c ON c.s1_id = s.s1_id GROUP BY 1)",
+        "run_totals": scored + """, e AS (SELECT s.s1_id, count(c.target_id) AS n, count(c.target_id) FILTER (WHERE prob >= 0.6) AS m FROM spine s LEFT JOIN scored c ON c.s1_id = s.s1_id GROUP BY 1)
+SELECT count(*) AS num_entities, count(*) FILTER (WHERE m > 0) AS num_matched, count(*) FILTER (WHERE m = 0) AS num_singletons, sum(n)::BIGINT AS num_scored_pairs, sum(m)::BIGINT AS num_matched_pairs, sum(least(n, greatest(m, 3)))::BIGINT AS num_kept_pairs,
+       round(count(*) FILTER (WHERE m = 0) / count(*), 9)::DOUBLE AS singleton_share, round(avg(n), 9)::DOUBLE AS avg_scored, round(avg(m), 9)::DOUBLE AS avg_matched, round(avg(least(n, greatest(m, 3))), 9)::DOUBLE AS avg_kept FROM e""",
+        "checked_thresholds": cand + _SCORED.replace(" AS prob FROM pr)", " AS prob FROM pr WHERE rank <= 5)") + ", ths AS (SELECT unnest([0.65, 0.7, 0.75, 0.78, 0.8, 0.85])::DOUBLE AS threshold)" + _ENT + f" SELECT threshold, {_ROUNDED}, round(coalesce(count(*) FILTER (WHERE gt = 0 AND pred = 0) / nullif(count(*) FILTER (WHERE gt = 0), 0), 1.0), 9)::DOUBLE AS singleton_accuracy, sum(pred)::BIGINT AS num_pred_matches FROM ms GROUP BY threshold",
+        "reachable_recall": cand + " SELECT count(*) AS num_true, count(c.rank) AS num_found, coalesce(count(c.rank) / nullif(count(*), 0), 1.0)::DOUBLE AS recall FROM (SELECT t.* FROM truth t JOIN rec r ON r.entity_id = t.target_id WHERE r.seq % 2 = 0) t LEFT JOIN cand c USING (s1_id, target_id)",
+        "seeded_negatives": cand + " SELECT s1_id, target_id, 1 AS label FROM truth WHERE s1_id IN (SELECT s1_id FROM cand) UNION ALL SELECT s1_id, target_id, 0 FROM (SELECT c.*, row_number() OVER (PARTITION BY c.s1_id ORDER BY md5('42:' || c.s1_id || ':' || c.target_id), c.target_id) AS k FROM cand c ANTI JOIN truth t USING (s1_id, target_id)) WHERE k <= 2",
+        "sampled_pool": cand + " SELECT entity_id FROM (SELECT entity_id, row_number() OVER (ORDER BY md5('42:' || entity_id), entity_id) AS k FROM rec WHERE source > 1) WHERE k <= 50 OR entity_id IN (SELECT target_id FROM truth)",
     }

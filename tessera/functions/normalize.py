@@ -115,7 +115,7 @@ def extended_views(records: DataFrame) -> DataFrame:
     six = lambda size: F.nullif(postal_code(F.col("business_address"), size), F.lit(""))
     df = df.withColumn("name_basic", basic).withColumn("name_no_suf", without_suffixes(F.col("name_basic"))).withColumn("addr_basic", address)
     return df.select(
-        "entity_id", "name_basic", "name_no_suf", alnum(F.col("n")).alias("name_alnum"), sorted_tokens(F.col("name_basic")).alias("name_sorted"), initials(F.col("name_no_suf")).alias("name_abbr"),
+        "entity_id", "name_basic", "name_no_suf", alnum(F.col("n")).alias("name_alnum"), sorted_tokens(F.col("name_basic")).alias("name_sorted"), sorted_tokens(F.col("name_no_suf")).alias("name_no_suf_sorted"), initials(F.col("name_no_suf")).alias("name_abbr"),
         "addr_basic", F.coalesce(six("6"), six("5"), F.lit("")).alias("postal_code"), digit_runs(present(F.col("business_address"))).alias("addr_digits"), house_number(present(F.col("business_address"))).alias("house_num"),
     )
 

@@ -24,18 +24,38 @@ def ratio(a: str, b: str) -> float:
     return 2 * lcs(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
+def _best_window(a: str, b: str) -> float:
+    """Best ratio of a over windows of b as long as a, also those that overhang b's ends."""
+    n, best = len(a), 0.0
+    spare: dict[str, int] = {}
+    for c in a:
+        spare[c] = spare.get(c, 0) + 1
+    # shared: characters that a and the window have in common in any order, a bound of the longest common subsequence.
+    shared = 0
+    for end in range(1, len(b) + n):
+        if end <= len(b):
+            c = b[end - 1]
+            spare[c] = spare.get(c, 0) - 1
+            shared += spare[c] >= 0
+        if end > n:
+            c = b[end - n - 1]
+            spare[c] += 1
+            shared -= spare[c] > 0
+        window = b[max(0, end - n) : end]
+        if 2 * shared / (n + len(window)) > best:
+            best = max(best, ratio(a, window))
+    return best
+
+
 def partial_ratio(a: str, b: str) -> float:
-    """Best ratio of the shorter string over windows of the longer one, also those that overhang its ends."""
+    """Best ratio of the shorter string over windows of the longer one; of strings equally long, either way round."""
     if not a or not b:
         return float(a == b)
     if len(a) > len(b):
         a, b = b, a
     if a in b:
         return 1.0
-    n, best = len(a), 0.0
-    for start in range(1 - n, len(b)):
-        best = max(best, ratio(a, b[max(start, 0) : start + n]))
-    return max(best, partial_ratio(b, a) if len(a) == len(b) and a > b else 0.0)
+    return max(_best_window(a, b), _best_window(b, a) if len(a) == len(b) else 0.0)
 
 
 def token_sort_ratio(a: str, b: str) -> float:
@@ -104,9 +124,10 @@ ADDRESS = {"ratio": ratio, "sort": token_sort_ratio, "set": token_set_ratio, "jw
 def _scored(kinds: dict):
     @F.pandas_udf(T.StructType([T.StructField(k, T.DoubleType()) for k in kinds]))
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        # Equal strings score 1 and empty ones 0, without a comparison.
-        rows = [[0.0] * len(kinds) if not x or not y else [1.0] * len(kinds) if x == y else [f(x, y) for f in kinds.values()] for x, y in zip(a.fillna(""), b.fillna(""), strict=True)]
-        return pd.DataFrame(rows, columns=list(kinds))
+        # Equal strings score 1 and empty ones 0, without a comparison; pairs of a batch that repeat are compared once.
+        pairs = list(zip(a.fillna(""), b.fillna(""), strict=True))
+        known = {(x, y): [0.0] * len(kinds) if not x or not y else [1.0] * len(kinds) if x == y else [f(x, y) for f in kinds.values()] for x, y in set(pairs)}
+        return pd.DataFrame([known[p] for p in pairs], columns=list(kinds))
 
     return run
 

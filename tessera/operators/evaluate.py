@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 THRESHOLDS = tuple(round(0.50 + 0.02 * k, 2) for k in range(24))
+#: Thresholds at which a trained model is checked (fixed values).
+CHECKED_THRESHOLDS = (0.65, 0.70, 0.75, 0.78, 0.80, 0.85)
 FINE_THRESHOLDS = tuple(round(0.50 + 0.01 * k, 2) for k in range(48))
 
 
@@ -63,12 +66,37 @@ def best_threshold(grid: DataFrame) -> DataFrame:
     return grid.orderBy(F.desc("macro_f05"), "threshold").limit(1)
 
 
-def errors(truth: DataFrame, predicted: DataFrame, entities: int = 5) -> DataFrame:
-    """False positives and negatives of the first few entities of each kind: kind, s1_id, target_id."""
+def average_candidates(spine: DataFrame, found: DataFrame) -> DataFrame:
+    """num_entities, num_pairs and avg_candidates, the mean number of candidates of an entity of spine(s1_id)."""
+    sizes = found.select("s1_id", "target_id").distinct().groupBy("s1_id").agg(F.count(F.lit(1)).alias("n"))
+    own = spine.select("s1_id").distinct().join(sizes, "s1_id", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
+    return own.agg(F.count(F.lit(1)).alias("num_entities"), F.coalesce(F.sum("n"), F.lit(0)).alias("num_pairs"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("avg_candidates"))
+
+
+def run_totals(spine: DataFrame, scored: DataFrame, matched: DataFrame, compact: DataFrame | None = None) -> DataFrame:
+    """Totals of a run over the entities of spine(s1_id): how many have a match and how many none, pairs scored, matches, candidates kept, and averages per entity."""
+    count = lambda df, name: df.groupBy("s1_id").agg(F.count(F.lit(1)).alias(name))
+    df = spine.select("s1_id").distinct().join(count(scored, "scored"), "s1_id", "left").join(count(matched, "matched"), "s1_id", "left")
+    df = df.join(count(scored if compact is None else compact, "kept"), "s1_id", "left").na.fill(0)
+    n = F.count(F.lit(1))
+    per = lambda total: F.coalesce(total / F.nullif(n, F.lit(0)), F.lit(0.0))
+    return df.agg(
+        n.alias("num_entities"), F.count_if(F.col("matched") > 0).alias("num_matched"), F.count_if(F.col("matched") == 0).alias("num_singletons"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(f"num_{c}_pairs") for c in ("scored", "matched", "kept")],
+        per(F.count_if(F.col("matched") == 0)).alias("singleton_share"), *[per(F.coalesce(F.sum(c), F.lit(0))).alias(f"avg_{c}") for c in ("scored", "matched", "kept")],
+    )
+
+
+def errors(truth: DataFrame, predicted: DataFrame, rows: int = 5) -> DataFrame:
+    """False positives and negatives by kind: kind, s1_id, target_id. Entities are taken in order, whole, until there are ``rows`` rows, so the last one may bring more."""
     a, b = truth.select("s1_id", "target_id").distinct(), predicted.select("s1_id", "target_id").distinct()
-    wrong = b.join(a, ["s1_id", "target_id"], "left_anti").withColumn("kind", F.lit("false positive")).union(a.join(b, ["s1_id", "target_id"], "left_anti").withColumn("kind", F.lit("false negative")))
-    first = None
-    for kind in ("false positive", "false negative"):
-        own = wrong.where(F.col("kind") == kind).select("kind", "s1_id").distinct().orderBy("s1_id").limit(entities)
-        first = own if first is None else first.union(own)
-    return wrong.join(first, ["kind", "s1_id"]).select("kind", "s1_id", "target_id")
+    wrong = {"false positive": b.join(a, ["s1_id", "target_id"], "left_anti"), "false negative": a.join(b, ["s1_id", "target_id"], "left_anti")}
+    out = None
+    for kind, pairs in wrong.items():
+        # Each entity has a row at least, so no more entities than rows are needed.
+        first = pairs.groupBy("s1_id").agg(F.count(F.lit(1)).alias("n")).orderBy("s1_id").limit(rows)
+        before = F.coalesce(F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("s1_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        opened = first.withColumn("before", before).where(F.col("before") < rows).select("s1_id")
+        own = pairs.join(F.broadcast(opened), "s1_id").select(F.lit(kind).alias("kind"), "s1_id", "target_id")
+        out = own if out is None else out.union(own)
+    return out

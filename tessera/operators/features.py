@@ -14,14 +14,16 @@ def last_of_each(records: DataFrame) -> DataFrame:
     """One record per id, the last in order where there are several."""
     rest = [c for c in records.columns if c not in ("entity_id", "seq")]
     if "seq" not in records.columns:
-        return records.dropDuplicates(["entity_id"])
+        # Without an order the greatest record stands for the last one, so that reruns agree.
+        return records.groupBy("entity_id").agg(F.max(F.struct(*rest)).alias("r")).select("entity_id", "r.*")
     return records.groupBy("entity_id").agg(F.max_by(F.struct(*rest), "seq").alias("r")).select("entity_id", "r.*")
 
 
-def with_records(pairs: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """pairs(s1_id, target_id, ...) with the records as a_ and b_ columns; pairs of unknown ids are left out."""
+def with_records(pairs: DataFrame, sources: DataFrame, targets: DataFrame, keep_unknown: bool = False) -> DataFrame:
+    """pairs(s1_id, target_id, ...) with the records as a_ and b_ columns; pairs of unknown ids are left out or, if kept, have null records, and features of 0."""
     side = lambda df, p, key: last_of_each(df).select(*[F.col(c).alias(key if c == "entity_id" else p + c) for c in df.columns if c != "seq"])
-    return pairs.join(side(sources, "a_", "s1_id"), "s1_id").join(side(targets, "b_", "target_id"), "target_id")
+    how = "left" if keep_unknown else "inner"
+    return pairs.join(side(sources, "a_", "s1_id"), "s1_id", how).join(side(targets, "b_", "target_id"), "target_id", how)
 
 
 def _flag(c: Column) -> Column:
@@ -99,4 +101,5 @@ def pair_features(met: DataFrame) -> DataFrame:
             "name_nosuf_exact_and_addr_sim": c("name_nosuf_exact") * c("addr_token_sort_ratio"),
         }
     )
-    return df.select(*kept, *FEATURES)
+    known = c("a_name_no_suf").isNotNull() & c("b_name_no_suf").isNotNull()
+    return df.select(*kept, *[F.when(known, c(f)).otherwise(0.0).alias(f) for f in FEATURES])

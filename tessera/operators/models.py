@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,13 +34,27 @@ def classifier(kind: str, rows: int = 10_000, seed: int = 42, **options):
 
 
 def train(labelled: DataFrame, kind: str = "xgboost", **options) -> PipelineModel:
-    own = classifier(kind, labelled.count(), **options)
-    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), own]).fit(labelled)
+    """A fitted pipeline. Rows of one class alone give a model that is sure of that class; its only probability counts as the score, as for a classifier with one output."""
+    classes = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
+    if len(classes) < 2:
+        return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), SQLTransformer(statement="SELECT *, array(0.0D, 1.0D) AS probability FROM __THIS__")]).fit(labelled)
+    own = classifier(kind, sum(classes.values()), **options)
+    model = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), own]).fit(labelled)
+    if getattr(model.stages[-1], "hasSummary", False):
+        # The summary holds the session, with which a fresh model can't be sent to executors.
+        model.stages[-1]._java_obj.setSummary(labelled.sparkSession._jvm.scala.Option.empty())
+    return model
 
 
 def score(model: PipelineModel, features: DataFrame) -> DataFrame:
     kept = [c for c in features.columns if c not in FEATURES]
-    return model.transform(features).select(*kept, vector_to_array("probability")[1].alias("prob"))
+    return model.transform(features).select(*kept, _second(model).alias("prob"))
+
+
+def _second(model: PipelineModel):
+    if isinstance(model.stages[-1], SQLTransformer):
+        return F.get("probability", F.lit(1))
+    return vector_to_array("probability")[1]
 
 
 def save(model: PipelineModel, path: str) -> None:
@@ -51,25 +65,26 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def compare(training: DataFrame, validation: DataFrame, spine: DataFrame, truth: DataFrame, kinds: tuple[str, ...] = MODELS, options: dict | None = None) -> list[dict]:
-    """Train each model, take its best threshold on the validation entities, and retrain the best one on its hard negatives as well."""
+def compare(training: DataFrame, validation: DataFrame, spine: DataFrame, truth: DataFrame, kinds: tuple[str, ...] = MODELS, options: dict | None = None) -> tuple[list[dict], PipelineModel]:
+    """(results, last model): train each model, take its best threshold on the validation entities, and retrain the best one on its hard negatives as well."""
     results, models = [], {}
     training, validation = training.persist(), validation.persist()
+    count = validation.count()
     for kind in kinds:
         models[kind] = train(training, kind, **(options or {}).get(kind, {}))
         best = best_threshold(threshold_grid(spine, truth, score(models[kind], validation), THRESHOLDS)).first()
-        results.append({"experiment_id": kind, "model": kind, **best.asDict()})
+        results.append({"experiment_id": kind, "model": kind, "candidate_count": count, **best.asDict()})
     top = max(results, key=lambda r: r["macro_f05"])
     hard = hard_negatives(score_and_keep(models[top["model"]], training)).drop("prob")
     again = train(training.unionByName(hard), top["model"], **(options or {}).get(top["model"], {}))
     best = best_threshold(threshold_grid(spine, truth, score(again, validation), FINE_THRESHOLDS)).first()
-    results.append({"experiment_id": f"{top['model']}_hard_negatives", "model": top["model"], **best.asDict()})
-    return results
+    results.append({"experiment_id": f"{top['model']}_hard_negatives", "model": top["model"], "candidate_count": count, **best.asDict()})
+    return results, again
 
 
 def score_and_keep(model: PipelineModel, features: DataFrame) -> DataFrame:
     """As score, with the features kept."""
-    return model.transform(features).select(*features.columns, vector_to_array("probability")[1].alias("prob"))
+    return model.transform(features).select(*features.columns, _second(model).alias("prob"))
 
 
 def demo_probability():

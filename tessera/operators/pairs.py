@@ -16,13 +16,19 @@ def labelled(pairs: DataFrame, truth: DataFrame) -> DataFrame:
 def training_pairs(pairs: DataFrame, truth: DataFrame, reachable: DataFrame, negatives: int = 4, seed: int | None = None) -> DataFrame:
     """All true pairs with a known target, found or not, and at most ``negatives`` others per source: by rank, or with a seed by a hash."""
     true = truth.select("s1_id", "target_id").distinct().join(reachable.select(F.col("entity_id").alias("target_id")).distinct(), "target_id", "left_semi").join(pairs.select("s1_id").distinct(), "s1_id", "left_semi")
-    by = F.col("rank") if seed is None else F.xxhash64("s1_id", "target_id", F.lit(seed))
+    by = F.col("rank") if seed is None else hash_order(F.concat_ws(":", "s1_id", "target_id"), seed)
     false = labelled(pairs, truth).where("label = 0").withColumn("n", F.row_number().over(W.partitionBy("s1_id").orderBy(by, "target_id"))).where(F.col("n") <= negatives)
     return true.select("s1_id", "target_id", F.lit(1).alias("label")).union(false.select("s1_id", "target_id", F.lit(0).alias("label")))
 
 
 def hash_order(key: Column, seed: int) -> Column:
-    return F.xxhash64(key, F.lit(seed))
+    """A seeded shuffle that any SQL engine can repeat."""
+    return F.md5(F.concat_ws(":", F.lit(seed), key).cast("binary"))
+
+
+def first_candidates(pairs: DataFrame, n: int = 12) -> DataFrame:
+    """Each source's first n candidates by rank."""
+    return pairs.withColumn("_n", F.row_number().over(W.partitionBy("s1_id").orderBy("rank", "target_id"))).where(F.col("_n") <= n).drop("_n")
 
 
 def sample(df: DataFrame, n: int, key: str = "entity_id", seed: int = 42) -> DataFrame:

@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources import files
+
 SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("entity_id", "business_name", "business_address", "country")])
 TRUTH = T.StructType([T.StructField(c, T.StringType()) for c in ("source1_entity_id", "matched_entity_ids")])
 _OPTIONS = {"sep": "\t", "header": True, "quote": '"', "escape": '"', "multiLine": True}
 
 
-def read_source(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.options(**_OPTIONS).schema(SCHEMA).csv(path)
+def read_source(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """Records; where no field holds a line break, ``multiline=False`` lets many tasks share a file."""
+    return spark.read.options(**_OPTIONS | {"multiLine": multiline}).schema(SCHEMA).csv(path)
 
 
 def head(records: DataFrame, n: int, order: str = "seq") -> DataFrame:
@@ -20,7 +23,7 @@ def head(records: DataFrame, n: int, order: str = "seq") -> DataFrame:
 
 
 def with_order(records: DataFrame, tables: int = 0) -> DataFrame:
-    """seq: the place among all targets, file by file; ``tables`` counts the ones before."""
+    """seq: the place among all targets, file by file; ``tables`` counts the ones before. The order is that of one file's lines; write it out before relying on it for records that are not read from one file."""
     return records.withColumn("seq", F.monotonically_increasing_id() + F.lit(tables) * F.lit(1 << 56))
 
 
@@ -33,7 +36,7 @@ def targets(*sources: DataFrame) -> DataFrame:
 
 
 def id_list(c):
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def read_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -55,17 +58,11 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_lists(lists: DataFrame, path: str) -> None:
-    """One row per entity, in order where seq tells it; empty lists are empty fields."""
-    ordered = lists.orderBy("seq").drop("seq") if "seq" in lists.columns else lists
-    ordered.write.mode("overwrite").options(sep="\t", header=True, emptyValue="", quote="").csv(path)
+    """One file, a row per entity, in order where seq tells it; empty lists are empty fields."""
+    files.write_single(lists.orderBy("seq").drop("seq") if "seq" in lists.columns else lists, path)
 
 
 def replace(spark: SparkSession, lists: DataFrame, path: str) -> None:
     """Write beside the path, then swap; a reader never sees half a result."""
-    write_lists(lists, f"{path}.new")
-    jvm = spark.sparkContext._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.new")
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"can't rename {path}.new")
+    write_lists(lists, f"{path}.next")
+    files.swap(spark, f"{path}.next", path)

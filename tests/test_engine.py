@@ -1,5 +1,4 @@
 import itertools
-import os
 import random
 import re
 
@@ -156,7 +155,7 @@ def test_files(spark, tmp_path):
     lists = spark.createDataFrame([("S1-1", "S2-1,S2-2", 1), ("S1-2", "", 2)], "source1_entity_id string, matched_entity_ids string, seq long")
     tsv.replace(spark, lists, str(tmp_path / "out"))
     tsv.replace(spark, lists, str(tmp_path / "out"))
-    body = "".join(open(tmp_path / "out" / f).read() for f in sorted(os.listdir(tmp_path / "out")) if f.startswith("part"))
+    body = (tmp_path / "out").read_text()
     assert body.count("S1-2\t\n") == 1 and "S1-1\tS2-1,S2-2\n" in body
     spine, truth = tsv.read_truth(spark, str(tmp_path / "out"))
     assert (spine.count(), truth.count()) == (2, 2)

@@ -165,9 +165,9 @@ def _segments(texts: DataFrame, wanted: DataFrame, sets: DataFrame, n: int, comm
     """set, size, fragment, grams: the part of each wanted set, empty or not, that lies in each fragment of the order.
 
     Texts stay where they are read: those whose id is marked make their
-    segments, and only segments travel. A mark may be another id's, and a text
-    may have many copies; what is not wanted goes before the shuffle's reduce
-    side keeps one copy of each.
+    segments, and only segments travel. A text may have many copies, of which
+    each task hands on one. A mark may be another id's; its set is not asked
+    for later.
     """
     marks = texts.sparkSession.sparkContext.broadcast(_marked(wanted.join(sets, "set").select(F.col("first").alias("id"))))
 
@@ -191,7 +191,7 @@ def _segments(texts: DataFrame, wanted: DataFrame, sets: DataFrame, n: int, comm
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.int64()))], ["set", "size", "fragment", "grams"])
 
     rows = texts.select("text", F.pmod(F.xxhash64("id"), F.lit(1 << MARKS)).alias("place"))
-    made = rows.mapInArrow(run, "set long, size long, fragment int, grams array<long>").join(wanted, "set", "left_semi")
+    made = rows.mapInArrow(run, "set long, size long, fragment int, grams array<long>")
     return made.groupBy("set", "fragment").agg(F.first("size").alias("size"), F.first("grams").alias("grams"))
 
 
@@ -223,21 +223,26 @@ def _possible_by_difference(least: int, of: int) -> Column:
 
 
 def _met(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """For each pair (a, b), both segments of each fragment: a, b, na, nb, fragment, ga, gb. The segments of a b with many partners are repeated, so that its pairs spread over tasks."""
+    """For each pair (a, b, star), both segments of each fragment: a, b, star, na, nb, fragment, ga, gb. The segments of a b with many partners are repeated, so that its pairs spread over tasks."""
     mine = segments.select(F.col("set").alias("a"), F.col("size").alias("na"), "fragment", F.col("grams").alias("ga"))
     theirs = segments.select(F.col("set").alias("b"), F.col("size").alias("nb"), "fragment", F.col("grams").alias("gb"))
     shares = pairs.groupBy("b").agg((F.floor(F.count(F.lit(1)) / PARTNERS) + 1).alias("shares"))
-    salted = pairs.select("a", "b").join(shares, "b").select("a", "b", F.pmod(F.xxhash64("a"), "shares").cast("int").alias("salt"))
+    salted = pairs.select("a", "b", "star").join(shares, "b").select("a", "b", "star", F.pmod(F.xxhash64("a"), "shares").cast("int").alias("salt"))
     theirs = theirs.join(shares, "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("shares").cast("int") - 1))).drop("shares")
     return salted.join(mine, "a").join(theirs, ["b", "fragment", "salt"])
 
 
-def _links(pairs: DataFrame, segments: DataFrame, least: int, of: int) -> DataFrame:
-    """The pairs (a, b) whose overlap, summed over the fragments, is large enough."""
-    partial = F.size(F.array_intersect("ga", "gb")).cast("long")
-    fragments = _met(pairs, segments).select("a", "b", "na", "nb", "fragment", partial.alias("common"))
-    summed = fragments.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
-    return summed.where(of * F.col("common") >= least * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+def _compared(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """For each pair (a, b, star): na, nb, common, the overlap summed over the fragments, and of stars tokens, the differences: an n-gram that only a has, or the complement of one that only b has."""
+    none = F.array().cast("array<long>")
+    tokens = F.when(F.col("star"), F.concat(F.array_except("ga", "gb"), F.transform(F.array_except("gb", "ga"), F.bitwise_not))).otherwise(none)
+    parts = _met(pairs, segments).select("a", "b", "star", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("common"), tokens.alias("tokens"))
+    found = parts.groupBy("a", "b", "star", "na", "nb").agg(F.sum("common").alias("common"), F.flatten(F.collect_list("tokens")).alias("tokens"))
+    return found.withColumn("d", F.size("tokens").cast("long"))
+
+
+def _similar(compared: DataFrame, least: int, of: int) -> DataFrame:
+    return compared.where(of * F.col("common") >= least * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b").distinct()
 
 
 def _classes(entries: DataFrame, least: int, of: int) -> DataFrame:
@@ -268,15 +273,6 @@ def _candidates(entries: DataFrame, least: int, of: int) -> tuple[DataFrame, Dat
     return pairs, stars
 
 
-def _differences(stars: DataFrame, segments: DataFrame) -> DataFrame:
-    """For each set a and its centre b: na, nb, common, d (the number of differences) and tokens (an n-gram that only a has, or the complement of one that only b has)."""
-    own = _met(stars, segments)
-    tokens = F.concat(F.array_except("ga", "gb"), F.transform(F.array_except("gb", "ga"), F.bitwise_not))
-    parts = own.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("common"), tokens.alias("tokens"))
-    found = parts.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"), F.flatten(F.collect_list("tokens")).alias("tokens"))
-    return found.withColumn("d", F.size("tokens").cast("long"))
-
-
 def _across(differences: DataFrame, labels: DataFrame, least: int, of: int) -> DataFrame:
     """Pairs (a, b) of different components that share one of their rarest differences from a centre and can be similar."""
     tokens = differences.select(F.col("a").alias("set"), F.col("b").alias("centre"), F.col("na").alias("size"), "d", F.explode("tokens").alias("token"))
@@ -333,17 +329,15 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     entries = entries.join(shared, "gram").groupBy("gram", "set").agg(F.max("size").alias("size"), F.max("pos").cast("long").alias("pos"), F.max("c").alias("c"))
     entries = cut(entries)
     drop(prefixes)
-    pairs, stars = (cut(x) for x in _candidates(entries, least, of))
+    pairs, stars = _candidates(entries, least, of)
+    pairs = cut(pairs.withColumn("star", F.lit(False)).union(stars.withColumn("star", F.lit(True))))
     drop(entries)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).union(stars.select(F.explode(F.array("a", "b")).alias("set"))).distinct()
-    wanted = cut(wanted)
-    segments = cut(_segments(texts, wanted, sets, n, common))
-    differences = cut(_differences(stars, segments))
-    near = differences.where(of * F.col("common") >= least * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
-    found = cut(_links(pairs, segments, least, of).union(near))
-    across = cut(_across(differences, connected_components(found), least, of))
-    links = cut(found.union(_links(across, segments, least, of)))
-    drop(segments, differences, across, pairs, stars, found)
+    segments = cut(_segments(texts, pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), sets, n, common))
+    compared = cut(_compared(pairs, segments))
+    found = cut(_similar(compared, least, of))
+    across = cut(_across(compared.where("star"), connected_components(found), least, of).withColumn("star", F.lit(False)))
+    links = cut(found.union(_similar(_compared(across, segments), least, of)))
+    drop(segments, compared, across, pairs, found)
     labels = connected_components(links)
 
     smallest = labels.join(sets.withColumnRenamed("set", "node"), "node").groupBy("label").agg(F.min("first").alias("component"))

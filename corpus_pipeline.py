@@ -41,9 +41,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     members = rows.select("_tessera_key", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("_tessera_id")).join(found, "_tessera_key")
     members = cut(members.groupBy("_tessera_key", "_tessera_id", "component_id").agg(F.count(F.lit(1)).alias("n")))
     first = members.groupBy("component_id").agg(F.min(F.struct("_tessera_id", "_tessera_key")).alias("first")).select(F.col("first._tessera_id").alias("_tessera_id"), F.col("first._tessera_key").alias("_tessera_key"))
+    # The list of what goes grows with the input, so it is never broadcast: the stage is the same at every size.
     gone = members.join(first, ["_tessera_id", "_tessera_key"], "left_anti").select("_tessera_id", "_tessera_key")
     again = members.where("n > 1").join(first, ["_tessera_id", "_tessera_key"], "left_semi").select("_tessera_id", "_tessera_key")
-    rows = rows.withColumn("_tessera_id", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))).join(gone, ["_tessera_id", "_tessera_key"], "left_anti")
+    rows = rows.withColumn("_tessera_id", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))).join(gone.hint("shuffle_merge"), ["_tessera_id", "_tessera_key"], "left_anti")
     if again.isEmpty():
         return rows.select(*docs.columns)
     once = rows.join(again, ["_tessera_id", "_tessera_key"], "left_semi").dropDuplicates(["_tessera_id", "_tessera_key"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessera.functions import normalize as N
+from tessera.operators.cuts import computed
 
 #: Postings with more entries than this, repeats included, are not probed.
 GUARDS = {"single_token": 500, "addr_code": 300, "postal": 300, "addr_pair": 300, "addr_digits": 300}
@@ -108,23 +109,56 @@ def char_grams(c: Column, sizes: tuple[int, ...] = (3, 4)) -> Column:
 
 
 def tfidf_weights(records: DataFrame, vocabulary: DataFrame | None, text: str = "name_no_suf", least: int = 5, most: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """L2-normalized (entity_id, seq, gram, weight), and the vocabulary (gram, idf), fitted here if none is given."""
+    """L2-normalized (entity_id, seq, gram, weight, df), and the vocabulary (gram, df, idf), fitted here if none is given."""
     counted = records.select("entity_id", *(["seq"] if "seq" in records.columns else []), F.explode(char_grams(F.col(text))).alias("gram"))
     counted = counted.groupBy(*counted.columns).agg(F.count(F.lit(1)).alias("tf"))
     if vocabulary is None:
         n = records.count()
         stats = counted.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= least)
-        vocabulary = stats.orderBy(F.desc("total"), "gram").limit(most).select("gram", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1).alias("idf"))
+        vocabulary = stats.orderBy(F.desc("total"), "gram").limit(most).select("gram", "df", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1).alias("idf"))
     raw = counted.join(vocabulary, "gram").withColumn("w", F.col("tf") * F.col("idf"))
     norms = raw.groupBy("entity_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norms, "entity_id").withColumn("weight", F.col("w") / F.col("norm")).drop("w", "norm", "tf", "idf"), vocabulary
 
 
+#: Postings looked through for a first guess at a source's best targets.
+SEED = 1_000
+#: Grams are taken until the norm of the rest is this share of the score to reach; from 1 on down, more grams leave fewer targets to be scored in full.
+EARLY = 0.6
+
+
 def tfidf_top(sources: DataFrame, targets: DataFrame, k: int = 5, floor: float = 0.15, **fit) -> DataFrame:
-    """s1_id, target_id, target_seq, cosine, place: the k most similar targets at or above floor; ties by target order."""
+    """s1_id, target_id, target_seq, cosine, place: the k most similar targets at or above floor; ties by target order.
+
+    Exact, without meeting all pairs that share a gram. A source's rarest
+    grams find k targets first; the least of their cosines, or the floor, is a
+    score that its best must reach. Grams are then taken from the
+    rarest on as long as the norm of the rest reaches that score: targets that
+    share none of these cannot, and of the others only those are scored in
+    full whose partial cosine and the norm of the rest together can.
+    """
     theirs, vocabulary = tfidf_weights(targets, None, **fit)
+    theirs = computed(theirs.select(F.col("seq").alias("target_seq"), "gram", "weight"))
     mine, _ = tfidf_weights(sources.drop("seq"), vocabulary, **fit)
-    met = mine.select(F.col("entity_id").alias("s1_id"), "gram", F.col("weight").alias("w")).join(theirs.select(F.col("entity_id").alias("target_id"), F.col("seq").alias("target_seq"), "gram", "weight"), "gram")
-    scored = met.groupBy("s1_id", "target_id", "target_seq").agg(F.round(F.sum(F.col("w") * F.col("weight")), 9).alias("cosine")).where(F.col("cosine") >= floor)
-    order = W.partitionBy("s1_id").orderBy(F.desc("cosine"), "target_seq")
-    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    # One source's grams: as many as its name has.
+    order = W.partitionBy("s1_id").orderBy("df", "gram")
+    mine = mine.select(F.col("entity_id").alias("s1_id"), "gram", F.col("weight").alias("w"), "df")
+    mine = mine.withColumn("before", F.sum("df").over(order) - F.col("df")).withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(0, W.unboundedFollowing))))
+    partial = lambda grams: grams.join(theirs, "gram").groupBy("s1_id", "target_seq").agg(F.sum(F.col("w") * F.col("weight")).alias("part"))
+    best = W.partitionBy("s1_id").orderBy(F.desc("part"))
+    guess = partial(mine.where(F.col("before") < SEED)).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
+    dot = F.sum(F.col("w") * F.col("weight"))
+    mine = computed(mine)
+    guess = guess.select("s1_id", "target_seq").join(mine.select("s1_id", "gram", "w"), "s1_id").join(theirs, ["target_seq", "gram"]).groupBy("s1_id", "target_seq").agg(dot.alias("cosine"))
+    guess = guess.groupBy("s1_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("cosine")).alias("kth"))
+    # Sums in another order may differ in the last places.
+    mine = computed(mine.join(guess, "s1_id", "left").withColumn("reach", F.greatest(F.lit(floor), F.coalesce("kth", F.lit(floor))) - 1e-8).drop("kth"))
+    soon = F.col("rest") >= F.col("reach") * EARLY
+    early, late = mine.where(soon), mine.where(~soon)
+    open_ = mine.groupBy("s1_id").agg(F.max("reach").alias("reach"), F.coalesce(F.max(F.when(~soon, F.col("rest"))), F.lit(0.0)).alias("rest"))
+    able = computed(partial(early).join(open_, "s1_id").where(F.col("part") + F.col("rest") >= F.col("reach")).select("s1_id", "target_seq", "part"))
+    more = able.select("s1_id", "target_seq").join(late.select("s1_id", "gram", "w"), "s1_id").join(theirs, ["target_seq", "gram"]).groupBy("s1_id", "target_seq").agg(F.sum(F.col("w") * F.col("weight")).alias("more"))
+    scored = able.join(more, ["s1_id", "target_seq"], "left").select("s1_id", "target_seq", F.round(F.col("part") + F.coalesce("more", F.lit(0.0)), 9).alias("cosine")).where(F.col("cosine") >= floor)
+    place = W.partitionBy("s1_id").orderBy(F.desc("cosine"), "target_seq")
+    top = scored.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)
+    return top.join(targets.select(F.col("seq").alias("target_seq"), F.col("entity_id").alias("target_id")), "target_seq").select("s1_id", "target_id", "target_seq", "cosine", "place")

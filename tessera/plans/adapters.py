@@ -11,7 +11,9 @@ from tessera.functions.normalize import normalized, tokens
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """entity_id, business_name (first six words), business_address (the next six, with numbers), country (lang), source 1 to 3, doc_id, seq."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    words = tokens(F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+", " ")))
+    # The first twelve words alone are looked at, however long the text.
+    start = F.regexp_extract(F.lower(F.coalesce("text", F.lit(""))), "^[^a-z0-9]*((?:[a-z0-9]+[^a-z0-9]+){0,11}(?:[a-z0-9]+)?)", 1)
+    words = tokens(F.trim(F.regexp_replace(start, "[^a-z0-9]+", " ")))
     part = lambda at: F.array_join(F.slice("w", at, 6), " ")
     df = docs.withColumn("w", words).withColumn("source", (F.col("doc_id") % 3 + 1).cast("int"))
     return df.select(

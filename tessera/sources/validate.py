@@ -35,6 +35,9 @@ def _examples(df: DataFrame, column: str) -> tuple[int, list[str]]:
 def parsed(spark: SparkSession, path: str, kind: str, report: Report) -> DataFrame | None:
     """s1_id, ids of the last row of each source; findings go to the report, None after a fatal one."""
     try:
+        if not spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty():
+            report.errors.append(f"{kind}: not UTF-8")
+            return None
         lines = _lines(spark, path)
         first = lines.where("line = 1").first()
     except Exception as e:  # noqa: BLE001 - any unreadable file is a finding

@@ -129,6 +129,12 @@ def test_subset_rule(spark, tmp_path):
     assert report.errors == [] and len(report.warnings) == 1 and "S1-1" in report.warnings[0]
 
 
+def test_other_encodings_are_an_error(spark, tmp_path):
+    (tmp_path / "m.tsv").write_bytes("source1_entity_id\tmatched_entity_ids\nS1-é\t\n".encode("latin-1"))
+    report = validate.validate(spark, str(tmp_path / "m.tsv"), None, spark.createDataFrame([("S1-1",)], "entity_id string"))
+    assert report.errors == ["matching: not UTF-8"]
+
+
 def test_command_line_inference(spark, data, tmp_path, monkeypatch):
     monkeypatch.setattr(models, "classifier", lambda kind, n, **o: models.LogisticRegression(maxIter=10, featuresCol="features", labelCol="label"))
     (train, _), (test, truth) = data["train"], data["test"]

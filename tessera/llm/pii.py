@@ -36,6 +36,8 @@ from tessera.llm.common import fields, small_batches
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS, "secret")
 SAMPLE, ROUNDS, SURE = 2000, 8, 0.8
+#: Nodes that a field is fitted on at most.
+NODES = 20_000
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
@@ -202,26 +204,32 @@ def edges(own: list[Node]) -> list[tuple[int, int, int]]:
     return out
 
 
-def pass_messages(field: Field, x: np.ndarray, links: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Label probabilities of nodes, and of pairs of labels on edges (node, node, kind), by loopy message passing."""
+def pass_messages(field: Field, x: np.ndarray, links: np.ndarray, rounds: int = ROUNDS, pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Label probabilities of nodes and, if asked for, of pairs of labels on edges (node, node, kind), by loopy message passing."""
     unary = x @ field.unary.T
     n = len(LABELS)
     belief, a, b, kind = unary, *links.reshape(-1, 3).T
     m = len(a)
     source, target, back = np.r_[a, b], np.r_[b, a], np.r_[np.arange(m, 2 * m), np.arange(m)]
-    psi = field.pairs[np.r_[kind, kind]]
+    kinds = np.r_[kind, kind]
     messages = np.zeros((2 * m, n))
     for _ in range(rounds if m else 0):
-        z = (belief[source] - messages[back])[:, :, None] + psi
-        top = z.max(1)
-        new = top + np.log(np.exp(z - top[:, None, :]).sum(1))
+        rest = belief[source] - messages[back]
+        new = np.empty_like(messages)
+        for label in range(n):
+            z = rest + field.pairs[:, :, label][kinds]
+            top = z.max(1)
+            new[:, label] = top + np.log(np.exp(z - top[:, None]).sum(1))
         messages = 0.3 * messages + 0.7 * (new - new.max(1, keepdims=True))
         belief = unary.copy()
         np.add.at(belief, target, messages)
     p = np.exp(belief - belief.max(1, keepdims=True))
-    z = (belief[a] - messages[m:])[:, :, None] + (belief[b] - messages[:m])[:, None, :] + psi[:m]
-    q = np.exp(z - z.max((1, 2), keepdims=True)) if m else np.zeros((0, n, n))
-    return p / p.sum(1, keepdims=True), q / q.sum((1, 2), keepdims=True)
+    p /= p.sum(1, keepdims=True)
+    if not pairs or not m:
+        return p, np.zeros((0, n, n))
+    z = (belief[a] - messages[m:])[:, :, None] + (belief[b] - messages[:m])[:, None, :] + field.pairs[kind]
+    q = np.exp(z - z.max((1, 2), keepdims=True))
+    return p, q / q.sum((1, 2), keepdims=True)
 
 
 #: Ordinary tokens of letters and digits, which every fit counts as negatives: a corpus may hold no such token but in secrets.
@@ -233,13 +241,15 @@ gate14c mp3player nov30th 5pm version2 chapter12 figure3b appendix2c gpt2 llama7
 
 
 def fit(texts: list[str], turns: int = 80) -> Field:
-    """The field of the greatest posterior probability, by gradient steps of a size of their own for each weight."""
+    """The field of the greatest posterior probability, by gradient steps of a size of their own for each weight. Texts that would bring more than NODES nodes are left out."""
     texts = [*texts, *ORDINARY.split()]
     field, mean = prior(), prior()
     n = len(LABELS)
     xs, ys, links = [], [], []
     for text in texts:
         own = nodes(text)
+        if len(xs) + len(own) > NODES:
+            continue
         inside = _inside(base_spans(text), own)
         # What is named as a secret once is one wherever it stands in the document.
         named = {x.skeleton for x in own if x.named}
@@ -272,7 +282,7 @@ def all_spans(field: Field, text: str, rounds: int = ROUNDS) -> tuple[dict[str,
     own = nodes(text)
     inside = _inside(found, own)
     if not all(inside):
-        p, _ = pass_messages(field, np.array([features(x, k) for x, k in zip(own, inside, strict=True)]), np.array(edges(own), np.int64).reshape(-1, 3), rounds)
+        p, _ = pass_messages(field, np.array([features(x, k) for x, k in zip(own, inside, strict=True)]), np.array(edges(own), np.int64).reshape(-1, 3), rounds, pairs=False)
         for i in np.flatnonzero((p[:, 1:].max(1) >= SURE) & (np.array(inside) == 0)):
             spans.append((LABELS[p[i].argmax()], own[i].start, own[i].end))
     return found, sorted(spans, key=lambda x: (LABELS.index(x[0]), x[1], x[2]))
@@ -292,8 +302,9 @@ def find_personal_data(docs: DataFrame, field: Field, doc_id: str = "doc_id", te
     Offsets are code points, ends exclusive. Redaction puts the kind in
     brackets in place of each span; of overlapping spans the union goes under
     the first one's kind. Null texts are empty and stay null when redacted.
-    Null ids and repeated rows are treated like any other. An empty table gives
-    no rows. Other columns are ignored.
+    Null ids and repeated rows are treated like any other. A text is looked at
+    whole, with some 500 bytes of work space for each possible token. An empty
+    table gives no rows. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field)

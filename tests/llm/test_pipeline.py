@@ -1,4 +1,5 @@
 import corpus_pipeline
+from tessera.llm.mixing import mix_sources
 from tests.llm.test_llm import BASE, table
 
 
@@ -21,3 +22,43 @@ def test_stages(spark, tmp_path):
     assert 200 in ids["near copies"] and 201 not in ids["near copies"] and ids["near copies"].count(202) == 1
     assert all("@" not in (r.text or "") for r in after["personal data"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def stored(spark, rows, path, parts):
+    table(spark, rows).repartition(parts).write.mode("overwrite").parquet(str(path))
+    return spark.read.parquet(str(path))
+
+
+def test_stages_agree_however_documents_are_stored(spark, tmp_path):
+    """Nulls, repeated rows, repeated ids, long texts: each stage gives the same rows from other files."""
+    long = " ".join(f"long{k % 5000}" for k in range(60_000))
+    rows = [(k, f"clean words number {k} " + " ".join(f"t{k}x{j}" for j in range(20)), "ab"[k % 2]) for k in range(60)]
+    rows += [(1, "another text of a known id " + BASE, "a"), (None, BASE, None), (None, BASE, None), (None, None, "b"), (7, "", "a"), (7, "", "a"), (100, long, "b"), (101, long + " end", "b"), (9, "call +1 (255) 555-8013", "a")]
+    one, two = (stored(spark, rows[::d], tmp_path / f"d{d}", p) for d, p in ((1, 1), (-1, 5)))
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        got = [sorted(map(str, stage(spark, docs, str(tmp_path)).collect())) for docs in (one, two)]
+        assert got[0] == got[1]
+    near = {(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, one, "").collect()}
+    assert (100, long) in near and 101 not in {i for i, _ in near} and (None, BASE) in near
+    assert len([r for r in corpus_pipeline.drop_near_copies(spark, one, "").collect() if r.text == BASE]) == 1
+
+
+def test_mix_takes_what_the_queue_takes(spark, tmp_path):
+    rows = [(k, " ".join(f"w{j}" for j in range(1 + k * 7 % 40)), "abcd"[k % 4] if k % 9 else None) for k in range(300)] + [(400, "", "a"), (401, None, None)]
+    docs = stored(spark, rows, tmp_path / "d", 3)
+    got = {}
+    for r in corpus_pipeline.mix(spark, docs, "").collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + 1
+    want = {}
+    keyed = corpus_pipeline._keyed(docs, "doc_id", "text", "source")
+    ids = {r["_tessera_key"]: r.doc_id for r in keyed.collect()}
+    for r in mix_sources(keyed, doc_id="_tessera_key").collect():
+        want[ids[r.doc_id]] = r.epochs if r.size else 1
+    assert got == {k: v for k, v in want.items() if v} and 0 in want.values() and 2 in want.values()
+
+
+def test_empty_tables(spark, tmp_path):
+    docs = stored(spark, [], tmp_path / "d", 1)
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0

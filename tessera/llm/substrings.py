@@ -34,9 +34,9 @@ from tessera.llm.common import cut, fields, shuffle_parts, small_batches
 
 LENGTH, GRAM = 100, 16
 #: Bytes of one key's different runs that are looked at together; beyond, they go on as digests of single windows.
-TOGETHER = 1_000_000
+TOGETHER = 4_000_000
 DIGEST = 16
-#: Windows in one suffix order; and bytes of text for each part that runs are dealt to.
+#: Windows in one suffix order, as bytes (of one key twice as many, and beyond as digests); and bytes of text for each part that runs are dealt to.
 COMPARED, PART = 200_000, 8_000_000
 #: Runs gathered by a task before they are handed on.
 GATHERED = 400_000
@@ -273,9 +273,14 @@ def later_windows(texts: list[bytes], ids: np.ndarray, ties: np.ndarray, starts:
     new = np.concatenate(([True], (ids[order][1:] != ids[order][:-1]) | (ties[order][1:] != ties[order][:-1]) | (starts[order][1:] != starts[order][:-1])))
     rank = np.empty(len(texts), np.int64)
     rank[order] = np.cumsum(new)
-    strings = np.lib.stride_tricks.sliding_window_view(flat, length)[np.repeat(np.cumsum(sizes) - sizes, windows) + inner]
+    if len(text) > 2 * COMPARED and length > DIGEST:
+        # So many windows are compared by their digests, which take less room.
+        digests = b"".join(hashlib.blake2b(t[s : s + length], digest_size=DIGEST).digest() for t in texts for s in range(len(t) - length + 1))
+        strings = np.frombuffer(digests, np.uint8).reshape(-1, DIGEST)
+    else:
+        strings = np.lib.stride_tricks.sliding_window_view(flat, length)[np.repeat(np.cumsum(sizes) - sizes, windows) + inner]
     factors = longest_previous_factors(strings, (rank[text] << 32) + inner)
-    gone = np.flatnonzero(factors >= length)
+    gone = np.flatnonzero(factors >= strings.shape[1])
     t, w = text[gone], inner[gone]
     new = np.concatenate(([True], (t[1:] != t[:-1]) | (w[1:] != w[:-1] + 1))) if len(t) else np.zeros(0, bool)
     k = np.flatnonzero(new)

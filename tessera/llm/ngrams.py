@@ -324,8 +324,8 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
 
     prefixes = cut(_prefixes(texts, n, common, least, of))
     entries = prefixes.select("set", "size", F.posexplode("prefix").alias("pos", "gram"))
-    shared = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min("set").alias("x"), F.max("set").alias("y")).where("x <> y").select("gram", "c")
-    # Two tasks may meet one set.
+    # Two tasks may meet one set, so some that are counted twice here are one set below.
+    shared = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     entries = entries.join(shared, "gram").groupBy("gram", "set").agg(F.max("size").alias("size"), F.max("pos").cast("long").alias("pos"), F.max("c").alias("c"))
     entries = cut(entries)
     drop(prefixes)

@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_dir: list[str] = []
 #: Folders of the tables that cut() returned, by identity.
 _paths: dict[int, str] = {}
+#: How to empty the caches that this Python worker keeps between tasks, by operator.
+_held: dict[str, Callable[[], None]] = {}
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Separators of words for the operators that count words or shingles.
@@ -73,6 +78,21 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def begin(operator: str, empty: Callable[[], None] | None = None) -> None:
+    """Called in a worker as a task begins. Spark hands a worker from one operator to the next, so what others remember is emptied, and the memory returned; ``empty`` says how, once this one's turn is over."""
+    others = [_held.pop(k) for k in [*_held] if k != operator]
+    if empty:
+        _held[operator] = empty
+    if others:
+        for forget in others:
+            forget()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+        if trim:
+            trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

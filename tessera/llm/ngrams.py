@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tessera.llm.common import UPPER, cut, drop, fields, small_batches
+from tessera.llm.common import UPPER, begin, cut, drop, fields, small_batches
 from tessera.llm.components import connected_components
 
 #: Most common n-grams, which come last in the order (a bound on what is broadcast; any choice gives right results), and n-grams counted at a time.
@@ -95,6 +95,7 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
     """Rows of documents (id, size, set) and rows of n-grams that are common in a part of the table (gram, count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("ngrams", _words.clear)
         kept: list[np.ndarray] = []
 
         def counted() -> Iterator[pa.RecordBatch]:
@@ -132,6 +133,7 @@ def _prefixes(docs: DataFrame, n: int, common, least: int, of: int) -> DataFrame
     """set, size, prefix: one row for each set that a task meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("ngrams", _words.clear)
         grams_, rank = common.value
         seen: set[int] = set()
         for batch in batches:
@@ -172,6 +174,7 @@ def _segments(texts: DataFrame, wanted: DataFrame, sets: DataFrame, n: int, comm
     marks = texts.sparkSession.sparkContext.broadcast(_marked(wanted.join(sets, "set").select(F.col("first").alias("id"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("ngrams", _words.clear)
         grams_, rank = common.value
         edges = np.arange(1, FRAGMENTS) << 60
         seen: set[int] = set()

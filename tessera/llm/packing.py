@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tessera.llm.common import cut, fields, small_batches
+from tessera.llm.common import begin, cut, fields, small_batches
 
 CAPACITY, SEPARATOR = 2048, 0
 #: Shares of one length, for ranks: a length that a third of all pieces have is ranked in so many parts.
@@ -109,6 +109,7 @@ def cut_into_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_i
     """One row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, ids (bytes)."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("packing", _encoders.clear)
         encoder = WordEncoder.of(path)
         end = np.array([SEPARATOR], "<u4").tobytes()
         for batch in batches:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fields, small_batches
+from tessera.llm.common import begin, fields, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS, "secret")
@@ -311,6 +311,7 @@ def find_personal_data(docs: DataFrame, field: Field, doc_id: str = "doc_id", te
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("pii")
         for batch in batches:
             base, spans, texts = [], [], []
             for value in batch.column(1):
@@ -333,6 +334,7 @@ def redact(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
     shared, at = docs.sparkSession.sparkContext.broadcast(field), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("pii")
         for batch in batches:
             texts = [t and redacted(t, all_spans(shared.value, t)[1]) for t in (value.as_py() for value in batch.column(at))]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))

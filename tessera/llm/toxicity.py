@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fields, small_batches
+from tessera.llm.common import begin, fields, small_batches
 
 DECAY, SPAN, WIDTH = 0.85, 5, 1 << 15
 #: Characters of a word looked at together; longer words are scored in overlapping parts.
 PART = 24
 SAMPLE, LANDMARKS, THRESHOLD = 3000, 96, 0.3
 CACHE = 600_000
+#: Words scored together: their arrays take some 8 MB.
+WORDS = 1_000
 _GAPS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 _SENTENCE = re.compile(r"[.!?\n]+")
 _SPELLED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
@@ -79,9 +81,9 @@ class Model:
 
     def of_words(self, words: list[str]) -> np.ndarray:
         out = np.zeros(len(words))
-        for k in range(0, len(words), 20_000):
-            features, weights = occurrences(words[k : k + 20_000])
-            out[k : k + 20_000] = (self.weights[features] * weights).sum(1) + self.bias
+        for k in range(0, len(words), WORDS):
+            features, weights = occurrences(words[k : k + WORDS])
+            out[k : k + WORDS] = (self.weights[features] * weights).sum(1) + self.bias
         return out
 
     def probability(self, best: np.ndarray) -> np.ndarray:
@@ -241,6 +243,7 @@ def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
         scorer = Scorer(shared.value)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
@@ -257,6 +260,7 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: flo
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
         scorer = Scorer(shared.value)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):

@@ -1,4 +1,7 @@
+import numpy as np
+
 import corpus_pipeline
+from tessera.llm import ngrams, packing, toxicity
 from tessera.llm.mixing import mix_sources
 from tests.llm.test_llm import BASE, table
 
@@ -62,3 +65,20 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, str(tmp_path)).count() == 0
+
+
+def test_a_worker_remembers_one_operators_words(spark, monkeypatch):
+    docs = table(spark, [(1, "plain words here", "a")]).select("doc_id", "text")
+    batches = docs.toArrow().to_batches()
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: lambda: [*run(iter(batches))])
+    pieces = packing.cut_into_pieces(docs, packing.tokenizer_path())
+    pieces()
+    encoder = packing._encoders[packing.tokenizer_path()]
+    pieces()
+    assert packing._encoders[packing.tokenizer_path()] is encoder
+    toxicity.keep_clean(docs, toxicity.fit([], []))()
+    assert not packing._encoders
+    ngrams._prefixes(docs, 2, spark.sparkContext.broadcast((np.zeros(0, np.int64), np.zeros(0, np.int64))), 8, 10)()
+    assert ngrams._words
+    pieces()
+    assert not ngrams._words and packing._encoders

@@ -79,3 +79,16 @@ def test_odd_rows(spark):
 def test_one_class_alone():
     model = toxicity.fit(["a b", "c"], [1, 1])
     assert (model.probability(toxicity.Scorer(model).best(["a b", "c", ""])) < 0.3).all()
+
+
+def test_many_new_words_are_scored_in_little_memory():
+    import tracemalloc
+
+    words = [f"w{k}" + "xyz" * 7 for k in range(20_000)]
+    model = toxicity.Model(np.random.default_rng(1).normal(size=toxicity.WIDTH), -1.0, 1.0, 0.0)
+    tracemalloc.start()
+    scores = model.of_words(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25_000_000
+    assert np.allclose(scores[::999], [model.of_words([w])[0] for w in words[::999]], atol=1e-12)
